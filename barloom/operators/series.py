@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,22 +77,25 @@ class Blocks:
     def reach(self) -> int:
         return math.ceil(self.back / self.layout.sub_rows) * self.layout.sub_rows
 
-    @property
+    @cached_property
     def rows(self):
         return Window.partitionBy(*self.keys, "_block").orderBy("_sub", "pos")
 
-    @property
+    @cached_property
     def up_to_now(self):
         return self.rows.rowsBetween(FIRST, NOW)
 
     @property
-    def in_piece(self):
-        spec = Window.partitionBy(*self.keys, "_block", "_sub").orderBy("pos")
-        return spec.rowsBetween(FIRST, NOW)
+    def in_piece(self) -> str:
+        """SQL window: the rows of the piece up to the current one."""
+        keys = ", ".join([*self.keys, "_block", "_sub"])
+        return f"(partition by {keys} order by pos rows unbounded preceding)"
 
-    def piece_before(self, steps: int):
-        spec = Window.partitionBy(*self.keys, "_block").orderBy("_sub")
-        return spec.rangeBetween(-steps, -steps)
+    def piece_before(self, steps: int) -> str:
+        """SQL window: all rows of the piece ``steps`` before the current one."""
+        keys = ", ".join([*self.keys, "_block"])
+        frame = f"range between {steps} preceding and {steps} preceding"
+        return f"(partition by {keys} order by _sub {frame})"
 
     @property
     def starts_series(self) -> Column:
@@ -147,20 +151,17 @@ def decaying_sums(df: DataFrame, blocks: Blocks, scans: dict[str, Decay]) -> Dat
     last value, decayed. ``blocks`` must reach back over ``Decay.pieces`` whole pieces.
     """
     size = blocks.layout.sub_rows
-    place = F.expr(f"cast(pos % {size} as double)")
-    inside = {}
-    for name, scan in scans.items():
-        weighted = F.col(scan.input) * F.pow(F.lit(scan.factor), -place)
-        inside[f"_in_{name}"] = F.pow(F.lit(scan.factor), place) * F.sum(weighted).over(
-            blocks.in_piece
-        )
-    df = df.withColumns(inside)
-    total = {}
+    place = f"cast(pos % {size} as double)"
+    inside, total = {}, {}
     for name, scan in scans.items():
-        at_end = F.when(place == size - 1, F.col(f"_in_{name}"))
-        carry = F.lit(0.0)
-        for step in range(1, scan.pieces(blocks.layout) + 1):
-            end = F.sum(at_end).over(blocks.piece_before(step))
-            carry = carry + F.coalesce(end, F.lit(0.0)) * (scan.factor ** (size * (step - 1)))
-        total[name] = F.col(f"_in_{name}") + F.pow(F.lit(scan.factor), place + 1) * carry
-    return df.withColumns(total).drop(*inside)
+        f = f"{scan.factor!r}D"
+        weighted = f"sum({scan.input} * pow({f}, -{place})) over {blocks.in_piece}"
+        inside[f"_in_{name}"] = F.expr(f"pow({f}, {place}) * {weighted}")
+        at_end = f"case when pos % {size} = {size - 1} then _in_{name} end"
+        carry = [
+            f"coalesce(sum({at_end}) over {blocks.piece_before(step)}, 0D)"
+            f" * {scan.factor ** (size * (step - 1))!r}D"
+            for step in range(1, scan.pieces(blocks.layout) + 1)
+        ]
+        total[name] = F.expr(f"_in_{name} + pow({f}, {place} + 1) * ({' + '.join(carry)})")
+    return df.withColumns(inside).withColumns(total).drop(*inside)
