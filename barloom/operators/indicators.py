@@ -26,7 +26,9 @@ from barloom.operators.series import (
     with_position,
 )
 
-ZERO = F.lit(0.0)
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 @dataclass
@@ -53,7 +55,7 @@ def _add_ema(step: Pass, blocks: Blocks, length: int) -> str:
     pos, close = F.col("pos"), F.col("close")
     start = F.sum(F.when(pos < length, close)).over(blocks.up_to_now) / length
     step.inputs[f"_z{name}"] = (
-        F.when(pos < length - 1, ZERO)
+        F.when(pos < length - 1, zero())
         .when(pos == length - 1, start)
         .otherwise(close * (1.0 - factor))
     )
@@ -69,7 +71,7 @@ def _add_wilder(
     name = f"_w{value}"
     factor = wilder_factor(length)
     x = F.col(value)
-    known = F.coalesce(x, ZERO)
+    known = F.coalesce(x, zero())
     if start == "first":
         no_value_yet = F.lag(value).over(blocks.rows).isNull()
         row_before = (F.col("pos") == 0) | F.lag("pos").over(blocks.rows).isNotNull()
@@ -88,7 +90,7 @@ def _add_wilder(
         plain = F.sum(value).over(blocks.up_to_now) / length
         step.inputs[f"_n{name}"] = so_far
         step.inputs[f"_z{name}"] = (
-            F.when(x.isNull() | (so_far < length), ZERO)
+            F.when(x.isNull() | (so_far < length), zero())
             .when(so_far == length, plain)
             .otherwise(known * (1.0 - factor))
         )
@@ -107,9 +109,9 @@ def _add_range_mean(step: Pass, blocks: Blocks, length: int) -> str:
     early = F.when(pos < length, rng)
     start = F.avg(early).over(blocks.up_to_now)
     step.inputs["_z_atr"] = (
-        F.when(pos < length - 1, ZERO)
+        F.when(pos < length - 1, zero())
         .when(pos == length - 1, start)
-        .otherwise(F.coalesce(rng, ZERO) * (1.0 - factor))
+        .otherwise(F.coalesce(rng, zero()) * (1.0 - factor))
     )
     step.scans["_y_atr"] = Decay("_z_atr", factor)
     step.results["_atr"] = F.when(pos >= length - 1, F.col("_y_atr"))
@@ -138,15 +140,15 @@ def _changes(df: DataFrame, blocks: Blocks, spec: Indicators) -> DataFrame:
 
     def after_first(value: Column) -> Column:
         # A copied row at the very edge of a block has no row before it; its weight is nil.
-        return F.when(later, F.coalesce(value, ZERO))
+        return F.when(later, F.coalesce(value, zero()))
 
     return df.withColumns(
         {
-            "_gain": after_first(F.greatest(diff, ZERO)),
-            "_loss": after_first(F.greatest(-diff, ZERO)),
+            "_gain": after_first(F.greatest(diff, zero())),
+            "_loss": after_first(F.greatest(-diff, zero())),
             "_range": F.when(later, rng).otherwise(first_range),
-            "_plus": after_first(F.when((up > down) & (up > 0), up).otherwise(ZERO)),
-            "_minus": after_first(F.when((down > up) & (down > 0), down).otherwise(ZERO)),
+            "_plus": after_first(F.when((up > down) & (up > 0), up).otherwise(zero())),
+            "_minus": after_first(F.when((down > up) & (down > 0), down).otherwise(zero())),
         }
     )
 

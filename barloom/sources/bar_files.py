@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,10 @@ def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -
         .option("pathGlobFilter", pattern)
         .csv(directory)
     )
-    name = F.col("_metadata.file_name")
+    path = F.col("_metadata.file_path")
     return rows.select(
-        symbol_of(name).alias("symbol"),
-        timeframe_of(name).alias("timeframe"),
+        symbol_of(path).alias("symbol"),
+        timeframe_of(path).alias("timeframe"),
         *RAW_COLUMNS,
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("file_start"),
@@ -63,16 +63,20 @@ def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -
     )
 
 
-def symbol_of(file_name):
-    return F.regexp_extract(file_name, "^([A-Za-z]+)_([A-Za-z0-9]+)", 1)
+# Symbol and timeframe in the name of a file, or of a folder of files, such as XXXYYY_H1.csv.
+SERIES_NAME = r"([A-Za-z]+)_([A-Za-z0-9]+)[^/]*\.csv"
 
 
-def timeframe_of(file_name):
-    return F.regexp_extract(file_name, "^([A-Za-z]+)_([A-Za-z0-9]+)", 2)
+def symbol_of(path: Column) -> Column:
+    return F.regexp_extract(path, SERIES_NAME, 1)
 
 
-def cleaned_name(file_name):
-    return F.regexp_replace(file_name, r"\.csv", "_cleaned.csv")
+def timeframe_of(path: Column) -> Column:
+    return F.regexp_extract(path, SERIES_NAME, 2)
+
+
+def cleaned_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.csv", "_cleaned.csv")
 
 
 def rejected_rows(raw: DataFrame, fmt: str = TIME_FORMAT, name: str = "file") -> DataFrame:
