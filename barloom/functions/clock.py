@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 DAY = 86_400
 
 
-def epoch_seconds(time: Column) -> Column:
-    """Whole seconds since 1970-01-01 00:00:00 on the same clock."""
-    seconds = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
-    return F.unix_date(time.cast("date")).cast("bigint") * DAY + seconds
+def epoch_seconds(time: str) -> str:
+    """SQL text: whole seconds since 1970-01-01 00:00:00 on the same clock."""
+    day = f"cast(unix_date(cast({time} as date)) as bigint) * {DAY}"
+    return f"({day} + hour({time}) * 3600 + minute({time}) * 60 + second({time}))"
 
 
-def bucket(time: Column, seconds: int) -> Column:
+def bucket(time: str, seconds: int) -> Column:
     """Number of the ``seconds``-wide bucket that holds ``time``, counted from 1970."""
-    return F.floor(epoch_seconds(time) / F.lit(seconds)).cast("bigint")
+    return F.expr(f"floor({epoch_seconds(time)} / {seconds})")
 
 
-def bucket_start(number: Column, seconds: int) -> Column:
-    """First instant of a bucket, as ``timestamp_ntz``."""
-    start = number * F.lit(seconds).cast("bigint")
-    day = F.date_from_unix_date(F.floor(start / F.lit(DAY)).cast("int"))
-    rest = F.pmod(start, F.lit(DAY).cast("bigint"))
-    return day.cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), rest.cast("decimal(18,6)")
+def time_of(seconds: str) -> Column:
+    """``timestamp_ntz`` that lies that many seconds after the start of 1970."""
+    return F.expr(
+        f"cast(date_from_unix_date(cast(floor({seconds} / {DAY}) as int)) as timestamp_ntz)"
+        f" + make_dt_interval(0, 0, 0, pmod({seconds}, {DAY}L))"
     )
 
 

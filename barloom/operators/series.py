@@ -25,7 +25,7 @@ FIRST, NOW = Window.unboundedPreceding, Window.currentRow
 
 
 def with_slice(df: DataFrame, layout: Layout, time: str = "time") -> DataFrame:
-    return df.withColumn("_slice", bucket(F.col(time), layout.slice_seconds))
+    return df.withColumn("_slice", bucket(time, layout.slice_seconds))
 
 
 def numbered(

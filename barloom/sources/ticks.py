@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.clock import DAY, bucket, bucket_start
+from barloom.functions.clock import DAY, bucket, time_of
 
 EVENT_TIMEFRAMES = {"H1": 3_600, "H4": 4 * 3_600, "H8": 8 * 3_600}
 ORDER_TIMEFRAMES = {"D1": DAY, "D7": 7 * DAY, "D14": 14 * DAY}
@@ -26,7 +26,7 @@ def bars_from_ticks(
     and the raw rows are shuffled once whatever the number of timeframes.
     """
     keys = ["symbol", "_slice", "_part"]
-    cut = ticks.withColumn("_slice", bucket(F.col("time"), slice_seconds)).withColumn(
+    cut = ticks.withColumn("_slice", bucket("time", slice_seconds)).withColumn(
         "_part", F.lit(0).cast("bigint") if part is None else part.cast("bigint")
     )
     inside = Window.partitionBy(*keys).orderBy("time", "seq")
@@ -72,7 +72,7 @@ def bars_from_ticks(
         .select(
             "symbol",
             "timeframe",
-            bucket_start(F.col("_bar") * F.col("width"), 1).alias("time"),
+            time_of("(_bar * width)").alias("time"),
             "open",
             "high",
             "low",
