@@ -26,16 +26,17 @@ FILE_ORDER = ("file", "file_start", "line")
 
 
 def discover_bar_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """Paths and sizes of the raw files; an error if there is none."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-        .select("path", "length")
-    )
-    if files.isEmpty():
+    """Paths of the raw files, empty ones included; an error if there is none."""
+    listed = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
+    if not listed:
         raise FileNotFoundError(f"no {pattern} in {directory}")
-    return files
+    files = spark.createDataFrame([(path,) for path in listed], "file string")
+    return files.select(plain_path(F.col("file")).alias("file"))
+
+
+def plain_path(path: Column) -> Column:
+    """One slash after the scheme, which Spark writes in two ways."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
 
 
 def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
@@ -57,7 +58,7 @@ def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -
         symbol_of(path).alias("symbol"),
         timeframe_of(path).alias("timeframe"),
         *RAW_COLUMNS,
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(path).alias("file"),
         F.col("_metadata.file_block_start").alias("file_start"),
         F.monotonically_increasing_id().alias("line"),
     )
@@ -79,17 +80,21 @@ def cleaned_name(name: Column) -> Column:
     return F.regexp_replace(name, r"\.csv", "_cleaned.csv")
 
 
-def rejected_rows(raw: DataFrame, fmt: str = TIME_FORMAT, name: str = "file") -> DataFrame:
-    """Per file: rows, rows without a readable time, and whether nothing readable is left.
+def rejected_rows(
+    raw: DataFrame, files: DataFrame | None = None, fmt: str = TIME_FORMAT, name: str = "file"
+) -> DataFrame:
+    """Per file: rows, rows without a readable time, and whether nothing readable is in it.
 
-    A file that cannot be read shows up here while the others go on.
+    A file that cannot be read shows up here while the others go on. With ``files``, the result of
+    ``discover_bar_files``, empty files are listed too.
     """
-    heading = F.col("time").startswith("Time")
-    bad = parse_time(F.col("time"), fmt).isNull() & ~F.coalesce(heading, F.lit(False))
+    heading = F.coalesce(F.col("time").startswith("Time"), F.lit(False))
+    bad = parse_time(F.col("time"), fmt).isNull() & ~heading
     counts = raw.groupBy(name).agg(
-        F.count_if(~F.coalesce(heading, F.lit(False))).alias("rows"),
-        F.count_if(bad).alias("rejected"),
+        F.count_if(~heading).alias("rows"), F.count_if(bad).alias("rejected")
     )
+    if files is not None:
+        counts = files.join(counts, name, "left").na.fill(0, ["rows", "rejected"])
     return counts.withColumn("unreadable", F.col("rejected") == F.col("rows"))
 
 
