@@ -56,6 +56,7 @@ SPLIT = Split(train_end=1999, validate=2000, test=2001)
 SMALL_FOREST = Forest(trees=20, repeats=3)
 FEATURES = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
 TIME_KEYS = ("symbol", "time")
+SERIES_KEYS = ("symbol", "timeframe")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,17 +76,17 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(bars_from_events(spark, sf_dir), ["timeframe"])
+    return stored(with_position(bars_from_events(spark, sf_dir), SERIES_KEYS), ["timeframe"])
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(bars_from_orders(spark, sf_dir), ["timeframe"])
+    return stored(with_position(bars_from_orders(spark, sf_dir), SERIES_KEYS), ["timeframe"])
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with position, label and indicators."""
-    bars = with_position(daily(spark, sf_dir), ("symbol", "timeframe"))
-    return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS, positioned=True))
+    bars = with_position(daily(spark, sf_dir), SERIES_KEYS)
+    return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS))
 
 
 def rule_predictions(bars: DataFrame) -> DataFrame:
@@ -123,8 +124,13 @@ def inputs_of(table: DataFrame) -> DataFrame:
     return evaluation_inputs(predictions(table), table, features)
 
 
+def inputs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation inputs for a query that reads them once."""
+    return inputs_of(order_features(spark, sf_dir))
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(inputs_of(order_features(spark, sf_dir)))
+    return stored(inputs_once(spark, sf_dir))
 
 
 def priced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -286,7 +292,7 @@ def q_model_features(spark, sf_dir):
     table = stored(labelled_features(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS))
     table = drop_incomplete(table)
     names = filters.feature_columns(
-        table, ("Target", "open", "high", "low", "close", "volume", "spread"), DROPPED_FEATURES
+        table, ("Target", "pos", "open", "high", "low", "close", "volume", "spread"), DROPPED_FEATURES
     )
     return rounded(table.select(*TIME_KEYS, *names), 9, RSI_14=6, ADX_14=6)
 
@@ -331,13 +337,13 @@ def q_year_slice(spark, sf_dir):
 
 
 def q_signals(spark, sf_dir):
-    return inputs(spark, sf_dir).select(
+    return inputs_once(spark, sf_dir).select(
         *TIME_KEYS, "year", "yhat", "signal", F.round("proba_max", 6).alias("proba_max")
     )
 
 
 def q_weights(spark, sf_dir):
-    rows = inputs(spark, sf_dir).select(*TIME_KEYS, "signal", "proba_max")
+    rows = inputs_once(spark, sf_dir).select(*TIME_KEYS, "signal", "proba_max")
     tried = events.with_weights(rows, weight_default).withColumnRenamed("weight", "weight_default")
     for n, weight in enumerate(CANDIDATES.values()):
         tried = events.with_weights(tried, weight).withColumnRenamed("weight", f"weight_{n}")
@@ -350,7 +356,7 @@ def q_max_confidence(spark, sf_dir):
 
 
 def q_signal_count(spark, sf_dir):
-    return events.signal_count(inputs(spark, sf_dir))
+    return events.signal_count(inputs_once(spark, sf_dir))
 
 
 def q_first_passage(spark, sf_dir):
@@ -410,7 +416,7 @@ def q_sharpe(spark, sf_dir):
 
 
 def q_buy_and_hold(spark, sf_dir):
-    return rounded(metrics.buy_and_hold(inputs(spark, sf_dir), ORDER_BARRIERS))
+    return rounded(metrics.buy_and_hold(inputs_once(spark, sf_dir), ORDER_BARRIERS))
 
 
 def record(spark, sf_dir) -> DataFrame:

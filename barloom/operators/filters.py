@@ -26,10 +26,10 @@ def purged_train_split(
         return df.where(F.col("time") < train_cutoff(split))
     inside = df.where(F.col("time") < year_start(split.train_end + 1))
     blocks = Blocks(tuple(keys), 0, split.purge_bars, layout)
-    spread = blocks.spread(with_position(inside, keys, layout))
+    spread = blocks.spread(with_position(inside.drop("pos"), keys, layout))
     later = F.count(F.lit(1)).over(blocks.rows.rowsBetween(1, split.purge_bars))
     kept = spread.withColumn("_later", later).where(F.col("_later") == split.purge_bars)
-    return blocks.own_rows(kept).drop("pos", "_later")
+    return blocks.own_rows(kept).select(*df.columns)
 
 
 def require_rows(df: DataFrame, split: Split) -> DataFrame:

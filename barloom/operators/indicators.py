@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from barloom.config import Barriers, Indicators, Layout
 from barloom.operators.labels import add_target
 from barloom.operators.series import (
-    FIRST,
     RATIO_TAIL,
     Blocks,
     Decay,
@@ -27,17 +26,16 @@ from barloom.operators.series import (
 )
 
 
-def zero() -> Column:
-    return F.lit(0.0)
-
-
 @dataclass
 class Pass:
-    """One round of decaying sums: inputs to prepare, sums to solve, columns to read off."""
+    """One round of decaying sums: inputs to prepare, sums to solve, columns to read off.
+
+    Inputs and results are SQL text by column name.
+    """
 
-    inputs: dict[str, Column] = field(default_factory=dict)
+    inputs: dict[str, str] = field(default_factory=dict)
     scans: dict[str, Decay] = field(default_factory=dict)
-    results: dict[str, Column] = field(default_factory=dict)
+    results: dict[str, str] = field(default_factory=dict)
 
 
 def wilder_factor(length: int) -> float:
@@ -48,113 +46,104 @@ def ema_factor(length: int) -> float:
     return 1.0 - 2.0 / (length + 1.0)
 
 
-def _add_ema(step: Pass, blocks: Blocks, length: int) -> str:
+def texts(columns: dict[str, str]) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in columns.items()}
+
+
+def _add_ema(step: Pass, blocks: Blocks, length: int) -> None:
     """Exponential mean of close that starts with the plain mean of the first n closes."""
-    name = f"_ema_{length}"
     factor = ema_factor(length)
-    pos, close = F.col("pos"), F.col("close")
-    start = F.sum(F.when(pos < length, close)).over(blocks.up_to_now) / length
-    step.inputs[f"_z{name}"] = (
-        F.when(pos < length - 1, zero())
-        .when(pos == length - 1, start)
-        .otherwise(close * (1.0 - factor))
+    start = f"sum(case when pos < {length} then close end) {blocks.up_to_now} / {length}"
+    step.inputs[f"_z_ema_{length}"] = (
+        f"case when pos < {length - 1} then 0D when pos = {length - 1} then {start}"
+        f" else close * {1.0 - factor!r}D end"
     )
-    step.scans[f"_y{name}"] = Decay(f"_z{name}", factor)
-    step.results[name] = F.when(pos >= length - 1, F.col(f"_y{name}"))
-    return name
+    step.scans[f"_y_ema_{length}"] = Decay(f"_z_ema_{length}", factor)
+    step.results[f"_ema_{length}"] = f"case when pos >= {length - 1} then _y_ema_{length} end"
 
 
-def _add_wilder(
-    step: Pass, blocks: Blocks, value: str, length: int, start: str, tail: float
-) -> str:
-    """Wilder mean of a column whose NULLs, if any, come before its first value."""
-    name = f"_w{value}"
+def _add_wilder(step: Pass, blocks: Blocks, x: str, length: int, start: str, tail: float) -> None:
+    """Wilder mean of column ``x``, whose NULLs, if any, come before its first value."""
     factor = wilder_factor(length)
-    x = F.col(value)
-    known = F.coalesce(x, zero())
+    mean, ready = f"_yw{x}", f"{x} is not null"
+    known, share = f"coalesce({x}, 0D)", f"{1.0 - factor!r}D"
     if start == "first":
-        no_value_yet = F.lag(value).over(blocks.rows).isNull()
-        row_before = (F.col("pos") == 0) | F.lag("pos").over(blocks.rows).isNotNull()
-        step.inputs[f"_z{name}"] = F.when(
-            x.isNotNull() & no_value_yet & row_before, known
-        ).otherwise(known * (1.0 - factor))
-        mean, ready = F.col(f"_y{name}"), x.isNotNull()
+        # The first row a block holds is no start unless the series starts there.
+        begins = (
+            f"{x} is not null and lag({x}) {blocks.over()} is null"
+            f" and (pos = 0 or lag(pos) {blocks.over()} is not null)"
+        )
+        step.inputs[f"_zw{x}"] = f"case when {begins} then {x} else {known} * {share} end"
     elif start == "adjusted":
-        step.inputs[f"_z{name}"] = known
-        step.inputs[f"_z1{name}"] = x.isNotNull().cast("double")
-        step.scans[f"_y1{name}"] = Decay(f"_z1{name}", factor, tail)
-        mean, ready = F.try_divide(F.col(f"_y{name}"), F.col(f"_y1{name}")), x.isNotNull()
+        step.inputs[f"_zw{x}"] = known
+        step.inputs[f"_zn{x}"] = f"cast({x} is not null as double)"
+        step.scans[f"_yn{x}"] = Decay(f"_zn{x}", factor, tail)
+        mean = f"try_divide(_yw{x}, _yn{x})"
     elif start == "sma":
-        seen = F.count(value).over(blocks.up_to_now)
-        so_far = F.when(blocks.starts_series, seen).otherwise(F.lit(length + 1))
-        plain = F.sum(value).over(blocks.up_to_now) / length
-        step.inputs[f"_n{name}"] = so_far
-        step.inputs[f"_z{name}"] = (
-            F.when(x.isNull() | (so_far < length), zero())
-            .when(so_far == length, plain)
-            .otherwise(known * (1.0 - factor))
+        seen = f"count({x}) {blocks.up_to_now}"
+        step.inputs[f"_zn{x}"] = (
+            f"case when {blocks.starts_series} then {seen} else {length + 1} end"
         )
-        mean, ready = F.col(f"_y{name}"), F.col(f"_n{name}") >= length
+        step.inputs[f"_zw{x}"] = (
+            f"case when {x} is null or ({blocks.starts_series} and {seen} < {length}) then 0D"
+            f" when {blocks.starts_series} and {seen} = {length}"
+            f" then sum({x}) {blocks.up_to_now} / {length} else {known} * {share} end"
+        )
+        ready = f"_zn{x} >= {length}"
     else:
         raise ValueError(f"unknown wilder_start: {start}")
-    step.scans[f"_y{name}"] = Decay(f"_z{name}", factor, tail)
-    step.results[name] = F.when(ready, mean)
-    return name
+    step.scans[f"_yw{x}"] = Decay(f"_zw{x}", factor, tail)
+    step.results[f"_w{x}"] = f"case when {ready} then {mean} end"
 
 
-def _add_range_mean(step: Pass, blocks: Blocks, length: int) -> str:
+def _add_range_mean(step: Pass, blocks: Blocks, length: int) -> None:
     """Wilder mean of the true range, started with the mean of the ranges of the first n bars."""
     factor = wilder_factor(length)
-    pos, rng = F.col("pos"), F.col("_range")
-    early = F.when(pos < length, rng)
-    start = F.avg(early).over(blocks.up_to_now)
+    start = f"avg(case when pos < {length} then _range end) {blocks.up_to_now}"
     step.inputs["_z_atr"] = (
-        F.when(pos < length - 1, zero())
-        .when(pos == length - 1, start)
-        .otherwise(F.coalesce(rng, zero()) * (1.0 - factor))
+        f"case when pos < {length - 1} then 0D when pos = {length - 1} then {start}"
+        f" else coalesce(_range, 0D) * {1.0 - factor!r}D end"
     )
     step.scans["_y_atr"] = Decay("_z_atr", factor)
-    step.results["_atr"] = F.when(pos >= length - 1, F.col("_y_atr"))
-    return "_atr"
+    step.results["_atr"] = f"case when pos >= {length - 1} then _y_atr end"
 
 
 def _solve(df: DataFrame, blocks: Blocks, step: Pass) -> DataFrame:
     if not step.scans:
         return df
-    df = decaying_sums(df.withColumns(step.inputs), blocks, step.scans)
-    return df.withColumns(step.results).drop(*step.inputs, *step.scans)
+    df = decaying_sums(df.withColumns(texts(step.inputs)), blocks, step.scans)
+    return df.withColumns(texts(step.results)).drop(*step.inputs, *step.scans)
 
 
 def _changes(df: DataFrame, blocks: Blocks, spec: Indicators) -> DataFrame:
-    """Differences to the bar before, NULL only on the first bar of a series."""
-    before = {c: F.lag(c).over(blocks.rows) for c in ("close", "high", "low")}
-    df = df.withColumns({f"_p{c}": w for c, w in before.items()})
-    later = F.col("pos") > 0
-    diff = F.col("close") - F.col("_pclose")
-    up, down = F.col("high") - F.col("_phigh"), F.col("_plow") - F.col("low")
-    spread = F.col("high") - F.col("low")
-    rng = F.greatest(
-        F.abs(spread), F.abs(F.col("high") - F.col("_pclose")), F.abs(F.col("low") - F.col("_pclose"))
-    )
-    first_range = spread if spec.first_range == "high_low" else F.lit(None).cast("double")
+    """Differences to the bar before, NULL only on the first bar of a series.
+
+    A copied row at the very edge of a block has no row before it and counts as no change; its
+    weight is nil for the rows the block owns.
+    """
+    df = df.withColumns(texts({f"_p{c}": f"lag({c}) {blocks.over()}" for c in ("close", "high", "low")}))
+    first_range = "high - low" if spec.first_range == "high_low" else "null"
+    up, down = "high - _phigh", "_plow - low"
 
-    def after_first(value: Column) -> Column:
-        # A copied row at the very edge of a block has no row before it; its weight is nil.
-        return F.when(later, F.coalesce(value, zero()))
+    def later(value: str) -> str:
+        return f"case when pos > 0 then coalesce({value}, 0D) end"
 
     return df.withColumns(
-        {
-            "_gain": after_first(F.greatest(diff, zero())),
-            "_loss": after_first(F.greatest(-diff, zero())),
-            "_range": F.when(later, rng).otherwise(first_range),
-            "_plus": after_first(F.when((up > down) & (up > 0), up).otherwise(zero())),
-            "_minus": after_first(F.when((down > up) & (down > 0), down).otherwise(zero())),
-        }
+        texts(
+            {
+                "_gain": later("greatest(close - _pclose, 0D)"),
+                "_loss": later("greatest(_pclose - close, 0D)"),
+                "_range": "case when pos > 0 then greatest(abs(high - low), abs(high - _pclose),"
+                f" abs(low - _pclose)) else {first_range} end",
+                "_plus": later(f"case when {up} > {down} and {up} > 0 then {up} else 0D end"),
+                "_minus": later(f"case when {down} > {up} and {down} > 0 then {down} else 0D end"),
+            }
+        )
     )
 
 
-def log_return_of(close: Column, close_before: Column) -> Column:
-    return F.ln(F.try_divide(close, close_before))
+LOG_RETURN = "ln(try_divide(close, {before}))"
+TURN = f"hour(time) * {2.0 * math.pi / 24.0!r}D"
 
 
 def add_indicators(
@@ -164,7 +153,6 @@ def add_indicators(
     keys: Sequence[str] = ("symbol", "timeframe"),
     layout: Layout = Layout(),
     label: Barriers | None = None,
-    positioned: bool = False,
 ) -> DataFrame:
     """Add the named columns to the bars, and with ``label`` also ``Target``.
 
@@ -195,8 +183,7 @@ def add_indicators(
     back = max(reach + [spec.bollinger]) + 1
     blocks = Blocks(tuple(keys), back, label.window if label else 0, layout)
 
-    df = bars if positioned else with_position(bars, keys, layout)
-    df = blocks.spread(df)
+    df = blocks.spread(with_position(bars, keys, layout))
     if label:
         df = add_target(df, blocks, label)
     df = _changes(df, blocks, spec)
@@ -216,36 +203,31 @@ def add_indicators(
     if want_adx:
         # Both direction lines are 100 * mean / ATR, so the ATR cancels and only says from which
         # bar on they exist.
-        plus, minus = F.col("_w_plus"), F.col("_w_minus")
-        strength = F.try_divide(F.abs(plus - minus) * 100.0, plus + minus)
-        df = df.withColumn("_dx", F.when(F.col("pos") >= spec.adx - 1, strength))
+        strength = "try_divide(100D * abs(_w_plus - _w_minus), _w_plus + _w_minus)"
+        df = df.withColumn("_dx", F.expr(f"case when pos >= {spec.adx - 1} then {strength} end"))
         _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, Decay("", 0.5).tail)
         df = _solve(df, blocks, second)
 
-    close = F.col("close")
-    trailing = blocks.rows.rowsBetween(-(spec.bollinger - 1), 0)
-    deviation = F.stddev_pop if spec.bollinger_sd == "population" else F.stddev_samp
-    turn = F.hour("time") * (2.0 * math.pi / 24.0)
+    trailing = blocks.over(f"rows between {spec.bollinger - 1} preceding and current row")
+    deviation = "stddev_pop" if spec.bollinger_sd == "population" else "stddev_samp"
+    width = (
+        f"try_divide({deviation}(close) {trailing} * {2.0 * spec.bollinger_width!r}D,"
+        f" avg(close) {trailing})"
+    )
     known = {
-        "Log_Return": log_return_of(close, F.col("_pclose")),
-        f"RSI_{spec.rsi}": F.try_divide(F.col("_w_gain") * 100.0, F.col("_w_gain") + F.col("_w_loss")),
-        f"ATR_{spec.atr}": F.col("_atr"),
-        "ATR_Norm": F.try_divide(F.col("_atr"), close),
-        f"ADX_{spec.adx}": F.col("_w_dx"),
-        "BB_Width": F.when(
-            F.col("pos") >= spec.bollinger - 1,
-            F.try_divide(
-                deviation(close).over(trailing) * (2.0 * spec.bollinger_width),
-                F.avg(close).over(trailing),
-            ),
-        ),
-        "Hour_Sin": F.sin(turn),
-        "Hour_Cos": F.cos(turn),
+        "Log_Return": LOG_RETURN.format(before="_pclose"),
+        f"RSI_{spec.rsi}": "try_divide(100D * _w_gain, _w_gain + _w_loss)",
+        f"ATR_{spec.atr}": "_atr",
+        "ATR_Norm": "try_divide(_atr, close)",
+        f"ADX_{spec.adx}": "_w_dx",
+        "BB_Width": f"case when pos >= {spec.bollinger - 1} then {width} end",
+        "Hour_Sin": f"sin({TURN})",
+        "Hour_Cos": f"cos({TURN})",
     }
     for n in emas:
-        known[f"EMA_{n}"] = F.col(f"_ema_{n}")
-        known[f"Dist_EMA_{n}"] = F.try_divide(close - F.col(f"_ema_{n}"), close)
-    df = df.withColumns({c: known[c] for c in columns})
+        known[f"EMA_{n}"] = f"_ema_{n}"
+        known[f"Dist_EMA_{n}"] = f"try_divide(close - _ema_{n}, close)"
+    df = df.withColumns(texts({c: known[c] for c in columns}))
     kept = [*bars.columns, *(["Target"] if label else []), *columns]
     return blocks.own_rows(df).select(*kept)
 
@@ -259,13 +241,12 @@ def log_returns(
     """ln(close / close of the bar before), on each series by itself."""
     blocks = Blocks(tuple(keys), 1, 0, layout)
     df = blocks.spread(with_position(bars, keys, layout))
-    df = df.withColumn(name, log_return_of(F.col("close"), F.lag("close").over(blocks.rows)))
+    df = df.withColumn(name, F.expr(LOG_RETURN.format(before=f"lag(close) {blocks.over()}")))
     return blocks.own_rows(df).select(*bars.columns, name)
 
 
 def hour_cyclic(bars: DataFrame) -> DataFrame:
-    turn = F.hour("time") * (2.0 * math.pi / 24.0)
-    return bars.withColumns({"Hour_Sin": F.sin(turn), "Hour_Cos": F.cos(turn)})
+    return bars.withColumns(texts({"Hour_Sin": f"sin({TURN})", "Hour_Cos": f"cos({TURN})"}))
 
 
 def base_features(

@@ -63,7 +63,8 @@ def triple_barrier_label(
     """Label every bar; the last ``window`` bars of a series keep NULL."""
     blocks = Blocks(tuple(keys), 0, barriers.window, layout)
     spread = blocks.spread(with_position(bars, keys, layout))
-    return blocks.own_rows(add_target(spread, blocks, barriers, name)).drop("pos")
+    labelled = blocks.own_rows(add_target(spread, blocks, barriers, name))
+    return labelled.select(*bars.columns, name)
 
 
 def drop_unlabelled_tail(labelled: DataFrame, name: str = "Target") -> DataFrame:

@@ -55,7 +55,13 @@ def numbered(
 def with_position(
     df: DataFrame, keys: Sequence[str], layout: Layout = Layout(), time: str = "time"
 ) -> DataFrame:
-    """Add ``pos``, the 0-based position of a row in its series by time."""
+    """Add ``pos``, the 0-based position of a row in its series by time.
+
+    A table that already has the column keeps it. Storing bars with their positions spares every
+    later step the numbering; series may then be filtered as a whole but not cut.
+    """
+    if "pos" in df.columns:
+        return df
     return numbered(with_slice(df, layout, time), keys, ["_slice"], [time], "pos").drop("_slice")
 
 
@@ -81,26 +87,31 @@ class Blocks:
     def rows(self):
         return Window.partitionBy(*self.keys, "_block").orderBy("_sub", "pos")
 
-    @cached_property
-    def up_to_now(self):
-        return self.rows.rowsBetween(FIRST, NOW)
+    def over(self, frame: str = "") -> str:
+        """SQL text of a window over the rows of a block, with an optional frame."""
+        keys = ", ".join([*self.keys, "_block"])
+        return f"over (partition by {keys} order by _sub, pos {frame})"
+
+    @property
+    def up_to_now(self) -> str:
+        return self.over("rows unbounded preceding")
 
     @property
     def in_piece(self) -> str:
-        """SQL window: the rows of the piece up to the current one."""
+        """SQL text of a window over the rows of the piece up to the current one."""
         keys = ", ".join([*self.keys, "_block", "_sub"])
-        return f"(partition by {keys} order by pos rows unbounded preceding)"
+        return f"over (partition by {keys} order by pos rows unbounded preceding)"
 
     def piece_before(self, steps: int) -> str:
-        """SQL window: all rows of the piece ``steps`` before the current one."""
+        """SQL text of a window over the piece that lies ``steps`` before the current one."""
         keys = ", ".join([*self.keys, "_block"])
         frame = f"range between {steps} preceding and {steps} preceding"
-        return f"(partition by {keys} order by _sub {frame})"
+        return f"over (partition by {keys} order by _sub {frame})"
 
     @property
-    def starts_series(self) -> Column:
-        """Whether this block, with its copied rows, begins at the start of the series."""
-        return F.col("_block") * self.layout.block_rows <= self.reach
+    def starts_series(self) -> str:
+        """SQL text: this block, with its copied rows, begins at the start of the series."""
+        return f"(_block * {self.layout.block_rows} <= {self.reach})"
 
     def spread(self, df: DataFrame) -> DataFrame:
         size = self.layout.block_rows
@@ -155,11 +166,11 @@ def decaying_sums(df: DataFrame, blocks: Blocks, scans: dict[str, Decay]) -> Dat
     inside, total = {}, {}
     for name, scan in scans.items():
         f = f"{scan.factor!r}D"
-        weighted = f"sum({scan.input} * pow({f}, -{place})) over {blocks.in_piece}"
+        weighted = f"sum({scan.input} * pow({f}, -{place})) {blocks.in_piece}"
         inside[f"_in_{name}"] = F.expr(f"pow({f}, {place}) * {weighted}")
         at_end = f"case when pos % {size} = {size - 1} then _in_{name} end"
         carry = [
-            f"coalesce(sum({at_end}) over {blocks.piece_before(step)}, 0D)"
+            f"coalesce(sum({at_end}) {blocks.piece_before(step)}, 0D)"
             f" * {scan.factor ** (size * (step - 1))!r}D"
             for step in range(1, scan.pieces(blocks.layout) + 1)
         ]
