@@ -75,17 +75,23 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_orders(spark, sf_dir, ("D1",))
 
 
+def numbered_bars(bars: DataFrame) -> DataFrame:
+    """Stored bars with positions; the ticks behind them are read once."""
+    kept = stored(bars, ["timeframe"])
+    return stored(with_position(kept, SERIES_KEYS), ["timeframe"])
+
+
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(with_position(bars_from_events(spark, sf_dir), SERIES_KEYS), ["timeframe"])
+    return numbered_bars(bars_from_events(spark, sf_dir))
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(with_position(bars_from_orders(spark, sf_dir), SERIES_KEYS), ["timeframe"])
+    return numbered_bars(bars_from_orders(spark, sf_dir))
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with position, label and indicators."""
-    bars = with_position(daily(spark, sf_dir), SERIES_KEYS)
+    bars = with_position(stored(daily(spark, sf_dir)), SERIES_KEYS)
     return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS))
 
 

@@ -18,6 +18,7 @@ from barloom.config import Barriers, Indicators, Layout
 from barloom.operators.labels import add_target
 from barloom.operators.series import (
     RATIO_TAIL,
+    TAIL,
     Blocks,
     Decay,
     decaying_sums,
@@ -62,17 +63,25 @@ def _add_ema(step: Pass, blocks: Blocks, length: int) -> None:
     step.results[f"_ema_{length}"] = f"case when pos >= {length - 1} then _y_ema_{length} end"
 
 
-def _add_wilder(step: Pass, blocks: Blocks, x: str, length: int, start: str, tail: float) -> None:
-    """Wilder mean of column ``x``, whose NULLs, if any, come before its first value."""
+def first_value(x: str, blocks: Blocks) -> str:
+    """SQL text: the first row with a value, NULLs coming before it only.
+
+    The first row that a block holds is no start unless the series starts there.
+    """
+    return (
+        f"({x} is not null and lag({x}) {blocks.over()} is null"
+        f" and (pos = 0 or lag(pos) {blocks.over()} is not null))"
+    )
+
+
+def _add_wilder(
+    step: Pass, blocks: Blocks, x: str, length: int, start: str, tail: float, begins: str
+) -> None:
+    """Wilder mean of column ``x``, which has values from the row on where ``begins`` holds."""
     factor = wilder_factor(length)
     mean, ready = f"_yw{x}", f"{x} is not null"
     known, share = f"coalesce({x}, 0D)", f"{1.0 - factor!r}D"
     if start == "first":
-        # The first row a block holds is no start unless the series starts there.
-        begins = (
-            f"{x} is not null and lag({x}) {blocks.over()} is null"
-            f" and (pos = 0 or lag(pos) {blocks.over()} is not null)"
-        )
         step.inputs[f"_zw{x}"] = f"case when {begins} then {x} else {known} * {share} end"
     elif start == "adjusted":
         step.inputs[f"_zw{x}"] = known
@@ -172,14 +181,14 @@ def add_indicators(
     def span(factor: float, tail: float) -> int:
         return Decay("", factor, tail).pieces(layout) * layout.sub_rows
 
-    reach = [span(ema_factor(n), Decay("", 0.5).tail) for n in emas]
+    reach = [span(ema_factor(n), TAIL) for n in emas]
     if want_rsi:
         reach.append(span(wilder_factor(spec.rsi), RATIO_TAIL))
     if want_atr or want_adx:
-        reach.append(span(wilder_factor(spec.atr), Decay("", 0.5).tail))
+        reach.append(span(wilder_factor(spec.atr), TAIL))
     if want_adx:
         f = wilder_factor(spec.adx)
-        reach.append(span(f, RATIO_TAIL) + span(f, Decay("", 0.5).tail))
+        reach.append(span(f, RATIO_TAIL) + span(f, TAIL))
     back = max(reach + [spec.bollinger]) + 1
     blocks = Blocks(tuple(keys), back, label.window if label else 0, layout)
 
@@ -193,19 +202,20 @@ def add_indicators(
         _add_ema(first, blocks, n)
     if want_rsi:
         for value in ("_gain", "_loss"):
-            _add_wilder(first, blocks, value, spec.rsi, spec.wilder_start, RATIO_TAIL)
+            _add_wilder(first, blocks, value, spec.rsi, spec.wilder_start, RATIO_TAIL, "pos = 1")
     if want_atr:
         _add_range_mean(first, blocks, spec.atr)
     if want_adx:
         for value in ("_plus", "_minus"):
-            _add_wilder(first, blocks, value, spec.adx, spec.wilder_start, RATIO_TAIL)
+            _add_wilder(first, blocks, value, spec.adx, spec.wilder_start, RATIO_TAIL, "pos = 1")
     df = _solve(df, blocks, first)
     if want_adx:
         # Both direction lines are 100 * mean / ATR, so the ATR cancels and only says from which
         # bar on they exist.
         strength = "try_divide(100D * abs(_w_plus - _w_minus), _w_plus + _w_minus)"
         df = df.withColumn("_dx", F.expr(f"case when pos >= {spec.adx - 1} then {strength} end"))
-        _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, Decay("", 0.5).tail)
+        begins = first_value("_dx", blocks)
+        _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, TAIL, begins)
         df = _solve(df, blocks, second)
 
     trailing = blocks.over(f"rows between {spec.bollinger - 1} preceding and current row")
