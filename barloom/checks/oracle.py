@@ -139,6 +139,9 @@ def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int):
 FEATURES = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 
+CANDIDATES = """(VALUES ('linear_0.5-1.5', 0), ('linear_0.8-1.2', 1), ('exp_0.5-1.5', 2),
+    ('step', 3)) c(candidate, place)"""
+
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "ev_ticks": (
         """SELECT event_type AS symbol, ts AS time, event_id AS seq,
@@ -279,16 +282,16 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                 WHEN 2 THEN 0.5 + pow(least(greatest((proba_max - 0.45) / 0.15, 0), 1), 2)
                 ELSE CASE WHEN proba_max < 0.5 THEN 0.5 WHEN proba_max < 0.55 THEN 1.0
                     ELSE 1.5 END END AS weight
-            FROM gross g CROSS JOIN (VALUES ('linear_0.5-1.5', 0), ('linear_0.8-1.2', 1),
-                ('exp_0.5-1.5', 2), ('step', 3)) c(candidate, place))""",
+            FROM gross g CROSS JOIN """
+        + CANDIDATES
+        + ")",
         ("gross",),
     ),
 }
 
 
-def metrics_ctes(name: str, source: str, keys: str) -> dict[str, tuple[str, tuple[str, ...]]]:
-    """Metrics of a trade table per ``keys``, which start with symbol and year."""
-    on = ", ".join(k.strip() for k in keys.split(","))
+def metrics_ctes(name: str, source: str, keys: str, base: str):
+    """Metrics of a trade table per ``keys``, with a row for every row of ``base``."""
     return {
         f"{name}_equity": (
             f"""SELECT *, max(equity) OVER (PARTITION BY {keys} ORDER BY time) AS peak
@@ -329,14 +332,15 @@ def metrics_ctes(name: str, source: str, keys: str) -> dict[str, tuple[str, tupl
                 profit_net / 400000000 * 100 AS total_return_pct, dd / 400000000 * 100 AS max_dd_pct,
                 bh AS bh_pips, bh / 400000000 * 100 AS bh_return_pct, profit_net - bh AS alpha_pips,
                 profit_net / 400000000 * 100 - bh / 400000000 * 100 AS alpha_return_pct, n_signals
-            FROM (SELECT {', '.join('x.' + k.strip() if i < 2 else k.strip() for i, k in enumerate(keys.split(',')))},
+            FROM (SELECT {', '.join('x.' + k.strip() for k in keys.split(','))},
                     coalesce(trades, 0) AS trades, coalesce(profit_net, 0) AS profit_net,
                     coalesce(dd, 0) AS dd, coalesce(win_rate, 0) AS win_rate,
                     coalesce(sharpe, 0) AS sharpe, x.n_signals,
                     CASE WHEN trades IS NULL THEN 0 ELSE x.bh END AS bh
-                FROM hold x LEFT JOIN (SELECT * FROM {name}_profit JOIN {name}_sharpe USING ({on})) m
-                    ON x.symbol = m.symbol AND x.year = m.year)""",
-            ("hold", f"{name}_profit", f"{name}_sharpe"),
+                FROM {base} x LEFT JOIN
+                    (SELECT * FROM {name}_profit JOIN {name}_sharpe USING ({keys})) m ON
+                    {' AND '.join(f'x.{k.strip()} = m.{k.strip()}' for k in keys.split(','))})""",
+            (base, f"{name}_profit", f"{name}_sharpe"),
         ),
     }
 
@@ -347,8 +351,9 @@ CTES["hold"] = (
     FROM sig GROUP BY 1, 2""",
     ("sig",),
 )
-CTES.update(metrics_ctes("one", "trades", "symbol, year"))
-CTES.update(metrics_ctes("many", "tried", "symbol, year, candidate, place"))
+CTES["hold_tried"] = (f"SELECT * FROM hold CROSS JOIN {CANDIDATES}", ("hold",))
+CTES.update(metrics_ctes("one", "trades", "symbol, year", "hold"))
+CTES.update(metrics_ctes("many", "tried", "symbol, year, candidate, place", "hold_tried"))
 CTES["best"] = (
     """SELECT symbol, year, candidate, profit_net FROM many_record
     WHERE year = 2000 AND candidate IS NOT NULL

@@ -39,6 +39,7 @@ class Forest:
     trees: int = 200
     depth: int = 12
     min_leaf: int = 5
+    bins: int = 32
     seed: int = 42
     repeats: int = 10
 

@@ -42,6 +42,7 @@ def train_forest(
         numTrees=forest.trees,
         maxDepth=forest.depth,
         minInstancesPerNode=forest.min_leaf,
+        maxBins=forest.bins,
         featureSubsetStrategy="sqrt",
         weightCol="class_weight",
         seed=forest.seed,
