@@ -28,7 +28,6 @@ class Account:
     """Costs per trade and the conversion from pips to a share of the capital."""
 
     commission: float = 0.0
-    slippage: float = 0.0
     spread_units_per_pip: float = 10.0
     pip_value: float = 1.0
     capital: float = 10_000.0

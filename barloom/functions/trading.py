@@ -71,7 +71,7 @@ def on_signal(weight: Weight) -> Column:
 
 
 def trade_cost(account: Account) -> Column:
-    return F.col("spread") / account.spread_units_per_pip + account.commission + account.slippage
+    return F.col("spread") / account.spread_units_per_pip + account.commission
 
 
 def gross_pips(barriers: Barriers, account: Account) -> Column:

@@ -51,7 +51,8 @@ def merge_null_audit(
             for i, (label, c) in enumerate(probes.items())
         ]
     )
-    pct = F.coalesce(F.try_divide(F.col("nulls").cast("double"), F.col("total").cast("double")), F.lit(0.0)) * 100
+    share = F.try_divide(F.col("nulls").cast("double"), F.col("total").cast("double"))
+    pct = F.coalesce(share, F.lit(0.0)) * 100
     return (
         counts.select("total", F.explode(rows).alias("_row"))
         .select("_row.merge", "_row.probe", "total", "_row.nulls")

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import Layout
@@ -128,6 +128,12 @@ class Blocks:
         return df.where(F.col("_block") == F.expr(f"pos div {size}")).drop("_block", "_sub")
 
 
+# Weights below exp(-TAIL) of the current one cannot change a double.
+TAIL = 40.0
+# For ratios of two decaying sums the weights matter until they leave the range of a double.
+RATIO_TAIL = 600.0
+
+
 def layout_for(layout: Layout, factors: Sequence[float]) -> Layout:
     """Shorten the pieces until factor^-p stays well inside the range of a double."""
     rows = layout.sub_rows
@@ -136,12 +142,6 @@ def layout_for(layout: Layout, factors: Sequence[float]) -> Layout:
     return replace(layout, sub_rows=rows)
 
 
-# Weights below exp(-TAIL) of the current one cannot change a double.
-TAIL = 40.0
-# For ratios of two decaying sums the weights matter until they leave the range of a double.
-RATIO_TAIL = 600.0
-
-
 @dataclass(frozen=True)
 class Decay:
     """y[t] = factor * y[t-1] + input[t], the input column holding 0 before the start."""

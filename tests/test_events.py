@@ -106,7 +106,7 @@ def test_costs_weights_and_timeout(spark):
         ],
         "symbol string, year int, time timestamp_ntz, result string, spread double, proba_max double",
     )
-    account = Account(commission=1.0, slippage=0.25)
+    account = Account(commission=1.25)
     got = {r.result: r for r in trade_pnl(kept, Barriers(), account, weight_step).collect()}
     assert got["win"].gross == 20 - 0.5 - 1.25 and got["win"].net == got["win"].gross * 0.5
     assert got["loss_sl"].gross == -10 - 0.5 - 1.25 and got["loss_sl"].weight == 1.0

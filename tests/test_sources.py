@@ -1,5 +1,5 @@
 import pytest
-from helpers import START, bars_frame, random_walk
+from helpers import bars_frame, random_walk
 from pyspark.sql import functions as F
 
 from barloom.config import Account, Barriers
