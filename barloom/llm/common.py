@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.session import shared_folder
@@ -41,6 +45,16 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers look for this package where the driver has it, besides their own path. On a
+    cluster it is installed or sent along with --py-files, and the extra entry finds nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+    return spark
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
@@ -84,3 +98,53 @@ def with_length(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         ]
     )
+
+
+def document_key(column: str = "doc_id", text: str = "text") -> Column:
+    """The id as a long. A row without an id is a document of its own, told apart by its text: its
+    key is a hash of the text moved below all ids in use."""
+    hashed = F.pmod(F.xxhash64(text), F.lit(2**62)) + F.lit(NO_ID).cast("long")
+    return F.coalesce(F.col(column).cast("long"), hashed)
+
+
+def key_or_null(key: Column) -> Column:
+    """The doc_id behind a document key."""
+    return F.when(key >= F.lit(NO_ID + 2**62), key)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    BOUND = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.BOUND:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_arrays(texts: Sequence[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, one text after the other, and each text's number of words.
+
+    ``bytes.split`` cuts at exactly the white space that words never hold.
+    """
+    words = [t.split() for t in texts]
+    counts = np.array([len(w) for w in words], dtype=np.int64)
+    flat = itertools.chain.from_iterable(words)
+    hashes = np.fromiter(map(known.__getitem__, flat), dtype=np.uint64, count=int(counts.sum()))
+    return hashes, counts
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of a 64-bit number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sequence(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of the given lengths laid end to end: the piece of each element, its place in it."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    starts = np.cumsum(counts) - counts
+    return owner, np.arange(len(owner)) - starts[owner]

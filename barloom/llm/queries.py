@@ -8,7 +8,8 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, lines, mixing, toxicity
+from barloom.llm import bpe, jaccard, lines, mixing, toxicity
+from barloom.llm.common import importable
 from barloom.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard.JaccardRule(words=3, percent=90)
+    return jaccard.component_report(table(spark, sf_dir, "documents"), rule)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, labels)
@@ -41,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -67,7 +67,36 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
 from judged group by doc_id
 """
 
+JACCARD = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 2], ' ') as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from words where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), commons as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from commons join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 90 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select r.a, l.b from reached r join both_ways l on r.b = l.a
+)
+select d.doc_id, coalesce(any_value(z.n), 0)::bigint as n_shingles, min(r.b) as component_id
+from documents d join reached r on r.a = d.doc_id left join sizes z on z.doc_id = d.doc_id
+group by d.doc_id
+"""
+
 SQL: dict[str, str] = {
     "op4_mixing": MIXING,
     "op6_line_dedup": LINES,
+    "op8_jaccard_join": JACCARD,
 }
