@@ -95,7 +95,32 @@ from documents d join reached r on r.a = d.doc_id left join sizes z on z.doc_id
 group by d.doc_id
 """
 
+SUBSTRINGS = rf"""
+with words as (
+  select doc_id, {WORDS} as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from words where len(w) >= 50)
+), low as (
+  select h, min(doc_id) as first from windows group by h
+), gone as (
+  select distinct doc_id, i + k as p
+  from (select doc_id, i, unnest(range(50)) as k from windows join low using (h) where first < doc_id)
+), placed as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from words
+), kept as (
+  select p.doc_id, count(*) filter (where g.p is not null) as n_removed,
+    string_agg(word, ' ' order by p.p) filter (where g.p is null) as text
+  from placed p left join gone g on g.doc_id = p.doc_id and g.p = p.p
+  group by p.doc_id
+)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed,
+  sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k using (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRINGS,
     "op4_mixing": MIXING,
     "op6_line_dedup": LINES,
     "op8_jaccard_join": JACCARD,

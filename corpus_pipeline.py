@@ -8,7 +8,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, common, lines, mixing, toxicity
+from barloom.llm import bpe, common, jaccard, lines, mixing, toxicity
 from barloom.llm.queries import RANKS, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return common.with_length(kept, docs.columns)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their runs of five words, directly or over others, the one
+    with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go as the target weights of their sources ask."""
     return mixing.mix_documents(docs)
@@ -38,6 +44,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", clean_stage),
     ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_stage),
     ("mixing sources to target weights", mix_stage),
     ("byte-level BPE encoding and decoding", token_stage),
 ]
