@@ -160,6 +160,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     empty. Other columns pass through; input columns named like the two counts are replaced.
     """
     lines, repeated = repeated_lines(docs, rule)
+    repeated = stored(repeated)  # read plainly, so that Spark can split the tasks of a hot line
     drops = (
         lines.join(repeated, KEY)
         .where(F.col("doc") != F.col("owner"))

@@ -8,18 +8,44 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, jaccard, lines, mixing, substrings, toxicity
+from barloom.llm import (
+    bpe,
+    fingerprints,
+    jaccard,
+    lines,
+    mixing,
+    quality,
+    sharding,
+    substrings,
+    toxicity,
+    urls,
+)
 from barloom.llm.common import importable
 from barloom.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
+URL_RULES = (
+    ("com/", urls.ALLOW),
+    ("example.com/en/", urls.BLOCK),
+    ("www.example.com/en/", urls.ALLOW),
+    ("net/es/", urls.BLOCK),
+    ("net/fr/", urls.BLOCK),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.window_digests(table(spark, sf_dir, "documents"))
 
@@ -28,6 +54,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -42,17 +72,25 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_report(table(spark, sf_dir, "documents"), rule)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, labels)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_fingerprints": op2_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 

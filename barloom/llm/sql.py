@@ -119,9 +119,32 @@ select w.doc_id, len(w.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint a
 from words w left join kept k using (doc_id)
 """
 
+URLS = r"""
+with parts as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
+  from pages
+), split_urls as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+), rules(rule, h, p, verdict) as (
+  values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+    ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+    ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), fits as (
+  select u.*, r.rule, r.verdict,
+    row_number() over (partition by u.page_id order by length(r.rule) desc) as place
+  from split_urls u left join rules r
+    on (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where place = 1
+"""
+
 SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_mixing": MIXING,
     "op6_line_dedup": LINES,
     "op8_jaccard_join": JACCARD,
+    "op9_url_filter": URLS,
 }
