@@ -180,7 +180,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the smaller fingerprint's bits found in the other's best filter, beyond chance.
 
     Each filter of the fingerprint with fewer filters is held against all of the other's; 0 is what
-    chance gives, 1 is all that can be shared. Filters weigh by their bits. Equal fingerprints have
+    chance gives, up to two of its standard deviations, and 1 is all that can be shared. Filters weigh by their bits. Equal fingerprints have
     likeness 1, also empty ones; an empty and another have 0.
     """
     if a.shape == b.shape and np.array_equal(a, b):
@@ -195,7 +195,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         shared = np.bitwise_count(b & row).sum(axis=1, dtype=np.int64)
         chance = mine * set_b / bits
         most = np.minimum(mine, set_b)
-        score = np.where(most > chance, (shared - chance) / np.maximum(most - chance, 1e-9), 0.0)
+        luck = chance + 2 * np.sqrt(chance * (1 - set_b / bits))
+        score = np.where(shared > luck, (shared - chance) / np.maximum(most - chance, 1e-9), 0.0)
         total += mine * float(np.clip(score.max(), 0.0, 1.0))
     return total / float(set_a.sum())
 
