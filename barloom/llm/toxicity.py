@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_chunks, texts_of
+from barloom.llm.common import WordHashes, stored, text_chunks, texts_of
+from barloom.llm.jaccard import shingle_sets
 
 # Letters of other scripts, digits and signs that stand for Latin letters.
 LOOK_ALIKES = str.maketrans(
@@ -41,7 +42,9 @@ JOINERS = re.compile("[\u00ad\u200b-\u200f\u2060\ufe0f]")
 @dataclass(frozen=True)
 class LexiconRule:
     """``sample``: labelled documents that the lexicon is learned from, at most. ``terms``: its
-    size at most. ``prefixes``: lengths of the beginnings of words that can be terms."""
+    size at most. ``prefixes``: lengths of the beginnings of words that can be terms. A term has
+    ``min_docs`` toxic documents, log odds of ``min_weight`` and a deviation of ``min_z`` or more;
+    a longer form of it below ``spared_weight`` is an exception phrase."""
 
     sample: int = 16_384
     terms: int = 2_000
@@ -49,6 +52,7 @@ class LexiconRule:
     min_docs: int = 5
     min_weight: float = 2.0
     min_z: float = 4.0
+    spared_weight: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -83,12 +87,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, rule: Le
     """Texts and labels of at most ``sample`` labelled documents, chosen by hash of the id.
 
     Only the ids chosen are broadcast, never more than ``sample``. An id labelled twice counts as
-    toxic if one label says so; labels without an id or a value are left out.
+    toxic if one label says so; labels without an id or a value are left out. Of texts that are
+    copies of one another, or nearly, about one per label is kept, or else the words of a much
+    copied document would stand out: texts with the same smallest hash of three words in a row
+    count as copies.
     """
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def with_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in text_chunks(batches):
+            members, sizes = shingle_sets(texts_of(batch), 3, known)
+            starts = np.cumsum(sizes) - sizes
+            family = [int(members[s].view(np.int64)) if n else 0 for s, n in zip(starts, sizes)]
+            columns = [pa.array(family, pa.int64()), batch.column("label"), batch.column("text")]
+            yield pa.RecordBatch.from_arrays(columns, ["family", "label", "text"])
+
+    rows = rows.select("text", "label").mapInArrow(with_family, "family long, label int, text string")
+    return stored(rows.groupBy("family", "label").agg(F.min("text").alias("text")).select("text", "label"))
 
 
 def term_counts(sample: DataFrame, rule: LexiconRule) -> DataFrame:
@@ -130,18 +149,19 @@ def learn_lexicon(
     counts = term_counts(sample, rule).withColumns(
         {"weight": F.log(in_toxic / in_clean), "z": (in_toxic - in_clean) / F.nullif(spread, F.lit(0.0))}
     )
-    counts = counts.where((F.col("toxic") + F.col("clean") >= rule.min_docs))
-    picked = counts.where((F.col("toxic") >= rule.min_docs) & (F.col("weight") >= rule.min_weight) & (F.col("z") >= rule.min_z))
-    found = (
-        picked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(rule.terms).collect()
-    )
-    weights = chosen_terms([(r.term, r.weight) for r in found])
+    counts = stored(counts.where(F.col("toxic") + F.col("clean") >= rule.min_docs))
+    strong = (F.col("weight") >= rule.min_weight) & (F.col("z") >= rule.min_z)
+    picked = counts.where((F.col("toxic") >= rule.min_docs) & strong)
+    picked = picked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(rule.terms)
+    weights = chosen_terms([(r.term, r.weight) for r in picked.collect()])
     if not weights:
         return Lexicon(())
-    base = F.lit(float(np.log(max(toxic, 1) / clean)))
-    starts = F.array(*[F.lit(t) for t in weights])
-    longer = counts.where((F.col("weight") < 0.5) & (F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) < base + 0.5))
-    longer = longer.where(F.exists(starts, lambda s: F.col("term").startswith(s) & (F.col("term") != s)))
+    # Longer forms of a chosen term that do not stand out themselves.
+    lengths = {n: [t for t in weights if len(t) == n] for n in {len(t) for t in weights}}
+    longer = F.lit(False)
+    for n, terms in lengths.items():
+        longer |= (F.length("term") > n) & F.left("term", F.lit(n)).isin(terms)
+    longer = counts.where((F.col("weight") < rule.spared_weight) & longer)
     spared = longer.orderBy(F.desc("clean"), "term").limit(rule.terms).collect()
     lexicon = Lexicon(tuple(weights.items()), tuple(r.term for r in spared))
     return fitted_curve(sample, lexicon)
