@@ -99,10 +99,10 @@ def shingle_sets(texts: list[str], words: int, known: WordHashes) -> tuple[np.nd
 
 
 def bitmaps(members: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per set: a power of two of bits, as many as the set has members or more, 64 at
-    least. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
+    """A bitmap per set: a power of two of bits, at least half as many as the set has members and
+    64. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
     owner, _ = sequence(sizes)
-    widths = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 6)
+    widths = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 7)
     starts = np.cumsum(widths) - widths
     place = (scrambled(members ^ SALTS[2]) & (widths[owner] - 1).astype(np.uint64)).astype(np.int64)
     flips = np.bincount(starts[owner] + place, minlength=int(widths.sum())) & 1
@@ -253,7 +253,10 @@ def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule
     rows = rows.join(open_groups.where("low < high").select("tile"), "tile")
     by_size = Window.partitionBy("tile").orderBy("n", "class")
     cut = F.floor((F.row_number().over(by_size) - 1) / rule.block).cast("int")
-    rows = stored(rows.withColumn("block", cut))
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    reach = (smaller * 100 >= F.col("n") * rule.percent) | (F.col("n") * 100 >= larger * rule.percent)
+    rows = rows.withColumns({"block": cut, "reach": reach}).where("reach").drop("reach")
+    rows = stored(rows)
     blocks = rows.groupBy("tile", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = blocks.select("tile", F.col("block").alias("i"), "most")
     right = blocks.select("tile", F.col("block").alias("j"), "least")
@@ -275,22 +278,33 @@ def tile_pairs(rows: DataFrame, rule: JaccardRule) -> DataFrame:
         for tile in whole_groups(batches, ["tile", "i", "j"]):
             side = tile.column("side").to_numpy()
             ids, sizes, labels = (tile.column(c).to_numpy() for c in ("class", "n", "label"))
+            sizes = sizes.astype(np.int64)
             bits = tile.column("bits").to_pylist()
-            words = min(len(b) for b in bits) // 8
-            bits = np.array([folded(b, words) for b in bits])
+            widths = np.array([len(b) // 8 for b in bits])
+            # Rows come in order of size, so bitmaps get no narrower; all from one width on, folded to it.
             first = np.flatnonzero(side == 0)
             second = np.flatnonzero(side == 1) if side.any() else first
+            wide = {
+                w: np.array([folded(bits[y], w) for y in second[widths[second] >= w].tolist()])
+                for w in np.unique(widths[first]).tolist()
+            }
             out = []
             for x in first.tolist():
-                others = second if side.any() else second[second > x]
-                both = sizes[others].astype(np.int64) + int(sizes[x])
-                off = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                near = rule.links((both - off) // 2, both) & (labels[others] != labels[x])
-                out += [(ids[x], ids[y]) for y in others[near].tolist()]
+                near = (labels[second] != labels[x]) & (rule.percent * sizes[second] <= 100 * sizes[x])
+                near &= (second > x) & (widths[second] >= widths[x])
+                if not near.any():
+                    continue
+                others = second[near]
+                w = int(widths[x])
+                rows_of = wide[w][near[widths[second] >= w]]
+                off = np.bitwise_count(rows_of ^ folded(bits[x], w)).sum(axis=1, dtype=np.int64)
+                both = sizes[others] + sizes[x]
+                reach = rule.links(np.minimum((both - off) // 2, sizes[x]), both)
+                out += [(ids[x], ids[y]) for y in others[reach].tolist()]
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "class")
+    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "n", "class")
     pairs = rows.mapInArrow(compared, "a long, b long").where("a != b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
