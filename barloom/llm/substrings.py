@@ -203,7 +203,8 @@ def later_windows(docs: DataFrame, signed: DataFrame, rule: WindowRule) -> DataF
     rows = docs.select(document_key().alias("doc"), F.xxhash64("text").alias("body"), "text")
     rows = rows.join(found, ["doc", "body"])
     windows = stored(candidate_windows(rows, rule))
-    low = shared_by_documents(windows, ["h1", "h2"])
+    # Written, so that the join reads two plain tables and Spark can split a frequent window's task.
+    low = stored(shared_by_documents(windows, ["h1", "h2"]))
     later = windows.join(low, ["h1", "h2"]).where("low < doc")
     later = later.select("doc", "body", "start").distinct()
     return later.groupBy("doc", "body").agg(F.sort_array(F.collect_list("start")).alias("starts"))
