@@ -51,15 +51,17 @@ MEASURES = (
 
 @dataclass(frozen=True)
 class EmRule:
-    """``window`` words make a window; ``rounds`` at most; ``prior``: votes of each kind that a
-    rule is credited with beforehand. Rules start as right in ``trust_bad`` of their bad votes and
+    """``window`` words make a window; ``rounds`` at most; ``prior``: how many votes
+    a rule is credited with beforehand, cast as in ``usual``. Rules start as right in ``trust_bad`` of their bad votes and
     ``trust_good`` of their good ones: a fault found says more than one fault not found."""
 
     window: int = 5
     rounds: int = 200
-    prior: float = 1.0
+    prior: float = 10.0
     trust_bad: float = 0.95
     trust_good: float = 0.55
+    #: Shares of the votes bad, none and good on bad texts and on good ones.
+    usual: tuple[tuple[float, float, float], ...] = ((0.3, 0.2, 0.5), (0.02, 0.08, 0.9))
 
 
 def repeated_window_words(hashes: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -189,11 +191,12 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rule: EmRule) -> tuple[
     weak, strong = (np.log(t / (1 - t)) for t in (rule.trust_good, rule.trust_bad))
     lean = weak * (patterns == 1).sum(axis=1) - strong * (patterns == -1).sum(axis=1)
     good = 1 / (1 + np.exp(-np.clip(lean, -30, 30)))
+    usual = rule.prior * np.array(rule.usual)[:, None, :]
     total = max(float(counts.sum()), 1.0)
     share, table = 0.5, np.full((2, n_rules, 3), 1 / 3)
     for _ in range(rule.rounds):
         weights = np.stack([counts * (1 - good), counts * good])
-        table = np.einsum("cp,prk->crk", weights, kinds) + rule.prior
+        table = np.einsum("cp,prk->crk", weights, kinds) + usual
         table /= table.sum(axis=2, keepdims=True)
         share = (weights[1].sum() + 1) / (total + 2)
         now = posterior(patterns, share, table)
