@@ -21,6 +21,11 @@ WHITE = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of a batch that goes to Python, at most.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 512,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+}
 #: Stands for a null doc_id inside the operators: the smallest id.
 NO_ID = -(2**63)
 
@@ -45,9 +50,15 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Python workers look for this package where the driver has it, besides their own path. On a
-    cluster it is installed or sent along with --py-files, and the extra entry finds nothing."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, set up for Python functions over whole texts.
+
+    Texts cross to Python in batches that stay small however long they are. Workers look for this
+    package where the driver has it, besides their own path; on a cluster it is installed or sent
+    along with --py-files, and the extra entry finds nothing.
+    """
+    for name, most in BATCH.items():
+        spark.conf.set(name, str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):

@@ -20,7 +20,7 @@ from barloom.llm import (
     toxicity,
     urls,
 )
-from barloom.llm.common import importable
+from barloom.llm.common import prepared
 from barloom.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

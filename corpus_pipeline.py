@@ -21,6 +21,7 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more stay in one. ``n_chars`` follows the text."""
+    common.prepared(spark)
     kept = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
     return common.with_length(kept, docs.columns)
 
@@ -28,16 +29,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their runs of five words, directly or over others, the one
     with the smallest id stays."""
+    common.prepared(spark)
     return jaccard.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go as the target weights of their sources ask."""
+    common.prepared(spark)
     return mixing.mix_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, as digests."""
+    common.prepared(spark)
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
