@@ -30,7 +30,6 @@ from barloom.operators.labels import (
     label_distribution,
     triple_barrier_label,
 )
-from barloom.operators.series import with_position
 from barloom.plans import training
 from barloom.plans.evaluation import Rules, evaluation, evaluation_inputs, priced_trades
 from barloom.plans.ml_table import (
@@ -75,24 +74,18 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_orders(spark, sf_dir, ("D1",))
 
 
-def numbered_bars(bars: DataFrame) -> DataFrame:
-    """Stored bars with positions; the ticks behind them are read once."""
-    kept = stored(bars, ["timeframe"])
-    return stored(with_position(kept, SERIES_KEYS), ["timeframe"])
-
-
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_bars(bars_from_events(spark, sf_dir))
+    return stored(bars_from_events(spark, sf_dir), ["timeframe"])
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_bars(bars_from_orders(spark, sf_dir))
+    return stored(bars_from_orders(spark, sf_dir), ["timeframe"])
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with position, label and indicators."""
-    bars = with_position(stored(daily(spark, sf_dir)), SERIES_KEYS)
-    return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS))
+    bars = daily(spark, sf_dir)
+    return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS, positions="given"))
 
 
 def rule_predictions(bars: DataFrame) -> DataFrame:
@@ -204,38 +197,38 @@ def q_rejected_rows(spark, sf_dir):
 
 
 def q_label_triple_barrier(spark, sf_dir):
-    labelled = triple_barrier_label(hourly(spark, sf_dir), EVENT_BARRIERS)
+    labelled = triple_barrier_label(hourly(spark, sf_dir), EVENT_BARRIERS, positions="given")
     return labelled.select(*TIME_KEYS, "close", F.col("Target").alias("target"))
 
 
 def q_unlabelled_tail(spark, sf_dir):
-    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS)
+    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS, positions="given")
     return drop_unlabelled_tail(labelled).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.max("time").alias("last_time")
     )
 
 
 def q_label_distribution(spark, sf_dir):
-    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS)
+    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS, positions="given")
     return label_distribution(labelled).withColumnRenamed("Target", "target")
 
 
 def entry_query(spark, sf_dir):
-    labelled = triple_barrier_label(hourly(spark, sf_dir), EVENT_BARRIERS)
+    labelled = triple_barrier_label(hourly(spark, sf_dir), EVENT_BARRIERS, positions="given")
     return label_distribution(drop_unlabelled_tail(labelled)).withColumnRenamed("Target", "target")
 
 
 def feature_query(source: Callable, columns: tuple[str, ...], digits: int) -> Query:
     def query(spark, sf_dir):
         return rounded(
-            add_indicators(source(spark, sf_dir), columns).select(*TIME_KEYS, *columns), digits
+            add_indicators(source(spark, sf_dir), columns, positions="given").select(*TIME_KEYS, *columns), digits
         )
 
     return query
 
 
 def q_log_return(spark, sf_dir):
-    return rounded(log_returns(hourly(spark, sf_dir)).select(*TIME_KEYS, "Log_Return"), 9)
+    return rounded(log_returns(hourly(spark, sf_dir), positions="given").select(*TIME_KEYS, "Log_Return"), 9)
 
 
 def q_hour_cyclic(spark, sf_dir):
@@ -244,18 +237,18 @@ def q_hour_cyclic(spark, sf_dir):
 
 def q_base_tf(spark, sf_dir):
     bars = bars_from_events(spark, sf_dir, ("H4", "H8"))
-    return rounded(base_features(bars, "_C"), 9, RSI_14_C=6)
+    return rounded(base_features(bars, "_C", positions="given"), 9, RSI_14_C=6)
 
 
 def q_macro_returns(spark, sf_dir):
     names = dict(EVENT_SERIES.macro)
-    return rounded(macro_returns(hourly(spark, sf_dir), names).drop("timeframe"), 9)
+    return rounded(macro_returns(hourly(spark, sf_dir), names, positions="given").drop("timeframe"), 9)
 
 
 def coarse_sides(bars: DataFrame, lag: float = 0.0) -> list[RightSide]:
     sides = []
     for timeframe, suffix in (("H4", "_H4"), ("H8", "_D1")):
-        feats = base_features(bars.where(F.col("timeframe") == timeframe), suffix)
+        feats = base_features(bars.where(F.col("timeframe") == timeframe), suffix, positions="given")
         names = (f"RSI_14{suffix}", f"Dist_EMA_20{suffix}", f"Dist_EMA_50{suffix}")
         sides.append(RightSide(feats.drop("timeframe"), names, lag))
     return sides
@@ -280,11 +273,11 @@ def q_asof_when_known(spark, sf_dir):
 def q_asof_macro(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     left = bars.where(F.col("timeframe") == "H1").select(*TIME_KEYS, "close")
-    return rounded(asof_by_time(left, macro_sides(bars, EVENT_SERIES)), 9)
+    return rounded(asof_by_time(left, macro_sides(bars, EVENT_SERIES, positions="given")), 9)
 
 
 def full_table(spark, sf_dir) -> DataFrame:
-    return ml_table(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS)
+    return ml_table(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS, positions="given")
 
 
 ML_DIGITS = {c: 6 for c in ("RSI_14", "ADX_14", "RSI_14_H4", "RSI_14_D1")}
@@ -295,7 +288,7 @@ def q_ml_table(spark, sf_dir):
 
 
 def q_model_features(spark, sf_dir):
-    table = stored(labelled_features(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS))
+    table = stored(labelled_features(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS, positions="given"))
     table = drop_incomplete(table)
     names = filters.feature_columns(
         table, ("Target", "pos", "open", "high", "low", "close", "volume", "spread"), DROPPED_FEATURES
@@ -310,17 +303,19 @@ def q_row_loss_audit(spark, sf_dir):
     ruled = predictions(table)
     joined = events.join_prices(ruled, table)
     feats = complete.select(*TIME_KEYS, "Target", *FEATURES)
-    steps = [
-        ("label", table, labelled),
-        ("features", labelled, complete),
-        ("join prices", ruled, joined),
-        ("join features", joined, events.join_features(joined, feats)),
+    chains = [
+        [("bars", table), ("label", labelled), ("features", complete)],
+        [
+            ("predictions", ruled),
+            ("join prices", joined),
+            ("join features", events.join_features(joined, feats)),
+        ],
     ]
-    return rounded(audit.row_loss_audit(steps))
+    return rounded(audit.row_loss_audit(chains))
 
 
 def q_merge_null_audit(spark, sf_dir):
-    merged = merged_features(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS)
+    merged = merged_features(order_bars(spark, sf_dir), ORDER_SERIES, ORDER_BARRIERS, positions="given")
     probes = {"middle": "RSI_14_H4", "coarse": "RSI_14_D1", "xau": "XAU_Return", "chf": "CHF_Return"}
     return rounded(audit.merge_null_audit(merged, probes))
 
@@ -491,7 +486,7 @@ def q_confirm_on_test(spark, sf_dir):
 
 
 def q_class_weights(spark, sf_dir):
-    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS)
+    labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS, positions="given")
     train = filters.purged_train_split(drop_unlabelled_tail(labelled), SPLIT)
     return rounded(scores.balanced_weights(train).withColumnRenamed("Target", "target"))
 
@@ -515,7 +510,7 @@ def q_classification_report(spark, sf_dir):
 
 def q_importance_filter(spark, sf_dir):
     """The rule on a stand-in for importances: mean and deviation of every feature."""
-    table = add_indicators(daily(spark, sf_dir), FEATURES)
+    table = add_indicators(daily(spark, sf_dir), FEATURES, positions="given")
     sums = table.agg(
         *[F.avg(c).alias(f"m_{c}") for c in FEATURES],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES],

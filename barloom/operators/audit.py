@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,29 @@ def loss_columns(before: Column, after: Column, threshold_pct: float = 5.0) -> d
 
 
 def row_loss_audit(
-    steps: Sequence[tuple[str, DataFrame, DataFrame]],
+    chains: Sequence[Sequence[tuple[str, DataFrame]]],
     keys: Sequence[str] = (),
     threshold_pct: float = 5.0,
 ) -> DataFrame:
-    """One row per (label, before, after) step, and per ``keys`` where given."""
+    """Per step and per ``keys``: rows before, rows after, what is lost.
+
+    A chain is a list of stages (step that leads to it, table), the first one a start without a
+    step of its own. Every stage is counted once and paired with the stage before it.
+    """
     parts = []
-    for label, before, after in steps:
-        for name, df in (("before", before), ("after", after)):
+    for chain, stages in enumerate(chains):
+        for place, (step, df) in enumerate(stages):
             counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-            parts.append(counted.select(F.lit(label).alias("step"), *keys, F.lit(name).alias("at"), "n"))
-    table = reduce(DataFrame.unionByName, parts).groupBy("step", *keys).agg(
-        F.sum(F.when(F.col("at") == "before", F.col("n")).otherwise(F.lit(0))).alias("before"),
-        F.sum(F.when(F.col("at") == "after", F.col("n")).otherwise(F.lit(0))).alias("after"),
-    )
+            at = [F.lit(chain).alias("_chain"), F.lit(place).alias("_place"), F.lit(step).alias("step")]
+            parts.append(counted.select(*at, *keys, "n"))
+    counts = reduce(DataFrame.unionByName, parts)
+    if keys:  # a key that is lost as a whole still has a row at every later stage
+        stages = counts.select("_chain", "_place", "step").distinct()
+        held = counts.select("_chain", *keys).distinct().join(stages, "_chain")
+        counts = held.join(counts, ["_chain", "_place", "step", *keys], "left").na.fill(0, ["n"])
+    order = Window.partitionBy("_chain", *keys).orderBy("_place")
+    paired = counts.withColumn("before", F.lag("n").over(order)).where(F.col("_place") > 0)
+    table = paired.select("step", *keys, F.coalesce("before", F.lit(0)).alias("before"), F.col("n").alias("after"))
     return table.withColumns(loss_columns(F.col("before"), F.col("after"), threshold_pct))
 
 

@@ -68,6 +68,7 @@ def first_passage(
     barriers: Barriers = Barriers(),
     keys: Sequence[str] = YEARLY,
     layout: Layout = Layout(),
+    positions: str = "count",
 ) -> DataFrame:
     """Per signal row: how its trade ends and from which bar on the next one may start.
 
@@ -77,8 +78,10 @@ def first_passage(
     """
     blocks = Blocks(tuple(keys), 0, barriers.window, layout)
     columns = [c for c in ("spread", "proba_max", "signal") if c in signals.columns]
+    if positions == "given":
+        columns.append("pos")
     narrow = signals.select(*keys, "time", "high", "low", "close", *columns)
-    rows = blocks.spread(with_position(narrow, keys, layout))
+    rows = blocks.spread(with_position(narrow, keys, layout, positions=positions), positions)
     rows = rows.withColumn("_ahead", bars_ahead(blocks, barriers.window))
     rows = blocks.own_rows(rows).where(F.col("signal") != 0)
 
@@ -100,7 +103,8 @@ def first_passage(
         .when(full, F.col("pos") + barriers.window)
         .otherwise(F.col("pos") + F.size(ahead) + 1)
     )
-    return rows.select(*keys, "time", "pos", free_at.alias("free_at"), result.alias("result"), *columns)
+    seen = [c for c in columns if c != "pos"]
+    return rows.select(*keys, "time", "pos", free_at.alias("free_at"), result.alias("result"), *seen)
 
 
 def non_overlapping_events(
@@ -171,11 +175,12 @@ def non_overlapping_events(
         *keys, F.expr(starts("_block", "_free", block))
     )
     keep = (
-        "inline(aggregate(_events, named_struct('bar', _free, 'kept', slice(_events, 1, 0)),"
+        "aggregate(_events, named_struct('bar', _free, 'kept', cast(array() as array<bigint>)),"
         " (a, e) -> if(e.pos >= a.bar,"
-        " named_struct('bar', e.free_at, 'kept', concat(a.kept, array(e))), a), a -> a.kept))"
+        " named_struct('bar', e.free_at, 'kept', array_append(a.kept, e.pos)), a), a -> a.kept)"
     )
-    return blocks.join(block_starts, [*keys, "_block"]).select(*keys, F.expr(keep))
+    walked = blocks.join(block_starts, [*keys, "_block"]).withColumn("_kept", F.expr(keep))
+    return walked.select(*keys, F.expr("inline(filter(_events, e -> array_contains(_kept, e.pos)))"))
 
 
 def trade_pnl(
@@ -207,4 +212,4 @@ def enrich_trades(trades: DataFrame, inputs: DataFrame) -> DataFrame:
     seen = inputs.select(
         "symbol", "time", *features, *[F.col(c).alias(n) for c, n in CONFIDENCES.items()]
     )
-    return trades.join(semi_join_entries(seen, trades), ["symbol", "time"], "left")
+    return trades.join(seen, ["symbol", "time"], "left")

@@ -23,6 +23,7 @@ from barloom.operators.series import (
     Decay,
     decaying_sums,
     layout_for,
+    ratio_rows,
     with_position,
 )
 
@@ -64,7 +65,7 @@ def _add_ema(step: Pass, blocks: Blocks, length: int) -> None:
 
 
 def first_value(x: str, blocks: Blocks) -> str:
-    """SQL text: the first row with a value, NULLs coming before it only.
+    """SQL text: a row with a value whose row before has none.
 
     The first row that a block holds is no start unless the series starts there.
     """
@@ -74,12 +75,31 @@ def first_value(x: str, blocks: Blocks) -> str:
     )
 
 
+def since_gap(y: str, x: str, factor: float, blocks: Blocks) -> str:
+    """SQL text: the decaying sum ``y`` without what came before the last row where ``x`` is NULL."""
+    gap = f"last(case when {x} is null then {{}} end, true) {blocks.up_to_now}"
+    old = f"pow({factor!r}D, pos - {gap.format('pos')}) * {gap.format(y)}"
+    return f"({y} - coalesce({old}, 0D))"
+
+
 def _add_wilder(
-    step: Pass, blocks: Blocks, x: str, length: int, start: str, tail: float, begins: str
+    step: Pass,
+    blocks: Blocks,
+    x: str,
+    length: int,
+    start: str,
+    tail: float,
+    begins: str,
+    gaps: bool = False,
 ) -> None:
-    """Wilder mean of column ``x``, which has values from the row on where ``begins`` holds."""
+    """Wilder mean of column ``x``, which has values from the row on where ``begins`` holds.
+
+    With ``gaps`` it may lose and regain its values, and the mean then starts anew.
+    """
     factor = wilder_factor(length)
     mean, ready = f"_yw{x}", f"{x} is not null"
+    if gaps:
+        mean = since_gap(mean, x, factor, blocks)
     known, share = f"coalesce({x}, 0D)", f"{1.0 - factor!r}D"
     if start == "first":
         step.inputs[f"_zw{x}"] = f"case when {begins} then {x} else {known} * {share} end"
@@ -87,7 +107,8 @@ def _add_wilder(
         step.inputs[f"_zw{x}"] = known
         step.inputs[f"_zn{x}"] = f"cast({x} is not null as double)"
         step.scans[f"_yn{x}"] = Decay(f"_zn{x}", factor, tail)
-        mean = f"try_divide(_yw{x}, _yn{x})"
+        shares = since_gap(f"_yn{x}", x, factor, blocks) if gaps else f"_yn{x}"
+        mean = f"try_divide({mean}, {shares})"
     elif start == "sma":
         seen = f"count({x}) {blocks.up_to_now}"
         step.inputs[f"_zn{x}"] = (
@@ -162,10 +183,13 @@ def add_indicators(
     keys: Sequence[str] = ("symbol", "timeframe"),
     layout: Layout = Layout(),
     label: Barriers | None = None,
+    positions: str = "count",
 ) -> DataFrame:
     """Add the named columns to the bars, and with ``label`` also ``Target``.
 
-    Known names: Log_Return, EMA_<n>, Dist_EMA_<n>, RSI_<n>, ATR_<n>, ATR_Norm, ADX_<n>,
+    ``positions`` as in ``with_position``. RSI and ADX compare ups with downs, so they stay as they
+    are while nothing moves; after 600 time constants without a move (8,096 bars for length 14)
+    they are NULL. Known names: Log_Return, EMA_<n>, Dist_EMA_<n>, RSI_<n>, ATR_<n>, ATR_Norm, ADX_<n>,
     BB_Width, Hour_Sin, Hour_Cos; <n> must be the length in ``spec`` except for the EMAs.
     """
     emas = sorted({int(c.rsplit("_", 1)[1]) for c in columns if "EMA_" in c})
@@ -192,11 +216,21 @@ def add_indicators(
     back = max(reach + [spec.bollinger]) + 1
     blocks = Blocks(tuple(keys), back, label.window if label else 0, layout)
 
-    df = blocks.spread(with_position(bars, keys, layout))
+    df = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
     if label:
         df = add_target(df, blocks, label)
     df = _changes(df, blocks, spec)
 
+    def last_move(up: str, down: str) -> str:
+        return f"max(case when {up} > 0 or {down} > 0 then pos end) {blocks.up_to_now}"
+
+    moves = {}
+    if want_rsi:
+        moves["_rsi_move"] = last_move("_gain", "_loss")
+    if want_adx:
+        moves["_adx_move"] = last_move("_plus", "_minus")
+    df = df.withColumns(texts(moves))
+
     first, second = Pass(), Pass()
     for n in emas:
         _add_ema(first, blocks, n)
@@ -213,9 +247,10 @@ def add_indicators(
         # Both direction lines are 100 * mean / ATR, so the ATR cancels and only says from which
         # bar on they exist.
         strength = "try_divide(100D * abs(_w_plus - _w_minus), _w_plus + _w_minus)"
-        df = df.withColumn("_dx", F.expr(f"case when pos >= {spec.adx - 1} then {strength} end"))
+        moving = f"pos - _adx_move <= {ratio_rows(wilder_factor(spec.adx))}"
+        df = df.withColumn("_dx", F.expr(f"case when pos >= {spec.adx - 1} and {moving} then {strength} end"))
         begins = first_value("_dx", blocks)
-        _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, TAIL, begins)
+        _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, TAIL, begins, gaps=True)
         df = _solve(df, blocks, second)
 
     trailing = blocks.over(f"rows between {spec.bollinger - 1} preceding and current row")
@@ -226,7 +261,8 @@ def add_indicators(
     )
     known = {
         "Log_Return": LOG_RETURN.format(before="_pclose"),
-        f"RSI_{spec.rsi}": "try_divide(100D * _w_gain, _w_gain + _w_loss)",
+        f"RSI_{spec.rsi}": f"case when pos - _rsi_move <= {ratio_rows(wilder_factor(spec.rsi))}"
+        " then try_divide(100D * _w_gain, _w_gain + _w_loss) end",
         f"ATR_{spec.atr}": "_atr",
         "ATR_Norm": "try_divide(_atr, close)",
         f"ADX_{spec.adx}": "_w_dx",
@@ -247,10 +283,11 @@ def log_returns(
     keys: Sequence[str] = ("symbol", "timeframe"),
     layout: Layout = Layout(),
     name: str = "Log_Return",
+    positions: str = "count",
 ) -> DataFrame:
     """ln(close / close of the bar before), on each series by itself."""
     blocks = Blocks(tuple(keys), 1, 0, layout)
-    df = blocks.spread(with_position(bars, keys, layout))
+    df = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
     df = df.withColumn(name, F.expr(LOG_RETURN.format(before=f"lag(close) {blocks.over()}")))
     return blocks.own_rows(df).select(*bars.columns, name)
 
@@ -265,20 +302,23 @@ def base_features(
     spec: Indicators = Indicators(),
     keys: Sequence[str] = ("symbol", "timeframe"),
     layout: Layout = Layout(),
+    positions: str = "count",
 ) -> DataFrame:
     """RSI and EMA distances of a coarser timeframe, their names ending in ``suffix``."""
     columns = [f"RSI_{spec.rsi}", *[f"Dist_EMA_{n}" for n in spec.base_emas]]
-    df = add_indicators(bars, columns, spec, keys, layout)
+    df = add_indicators(bars, columns, spec, keys, layout, positions=positions)
     return df.select(*keys, "time", *[F.col(c).alias(f"{c}{suffix}") for c in columns])
 
 
-def macro_returns(bars: DataFrame, names: dict[str, str], layout: Layout = Layout()) -> DataFrame:
+def macro_returns(
+    bars: DataFrame, names: dict[str, str], layout: Layout = Layout(), positions: str = "count"
+) -> DataFrame:
     """Log returns of the side symbols, one row per (symbol, time), the new name in ``series``.
 
     ``names`` maps a symbol to the name of its return column.
     """
     label = F.coalesce(*[F.when(F.col("symbol") == s, F.lit(n)) for s, n in names.items()])
     side = bars.where(F.col("symbol").isin(*names)).withColumn("series", label)
-    return log_returns(side, layout=layout, name="value").select(
+    return log_returns(side, layout=layout, name="value", positions=positions).select(
         "series", "symbol", "timeframe", "time", "value"
     )

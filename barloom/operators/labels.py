@@ -59,10 +59,11 @@ def triple_barrier_label(
     keys: Sequence[str] = ("symbol", "timeframe"),
     layout: Layout = Layout(),
     name: str = "Target",
+    positions: str = "count",
 ) -> DataFrame:
     """Label every bar; the last ``window`` bars of a series keep NULL."""
     blocks = Blocks(tuple(keys), 0, barriers.window, layout)
-    spread = blocks.spread(with_position(bars, keys, layout))
+    spread = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
     labelled = blocks.own_rows(add_target(spread, blocks, barriers, name))
     return labelled.select(*bars.columns, name)
 

@@ -39,25 +39,60 @@ def _running(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _days(running: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per day, with the level and the peak that the earlier days leave behind.
+def _levels(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the level and the peak that the earlier days leave behind.
 
     A key has at most one row per calendar day here, so the window over days is small.
     """
     earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(FIRST, -1)
-    return (
-        running.groupBy(*keys, "_day")
-        .agg(
-            F.count(F.lit(1)).alias("trades"),
-            F.count_if(F.col("gross") > 0).alias("wins"),
-            F.sum("net").alias("pnl"),
-            F.max("_sum").alias("_peak"),
-            F.min("_sum").alias("_low"),
-            F.min(F.col("_sum") - F.col("_top")).alias("_drop"),
-        )
-        .withColumn("_before", or_zero(F.sum("pnl").over(earlier)))
-        .withColumn("_peak_before", F.max(F.col("_before") + F.col("_peak")).over(earlier))
+    return days.withColumn("_before", or_zero(F.sum("pnl").over(earlier))).withColumn(
+        "_peak_before", F.max(F.col("_before") + F.col("_peak")).over(earlier)
+    )
+
+
+def _days(running: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per day from the running sums of its trades."""
+    days = running.groupBy(*keys, "_day").agg(
+        F.count(F.lit(1)).alias("trades"),
+        F.count_if(F.col("gross") > 0).alias("wins"),
+        F.sum("net").alias("pnl"),
+        F.max("_sum").alias("_peak"),
+        F.min("_sum").alias("_low"),
+        F.min(F.col("_sum") - F.col("_top")).alias("_drop"),
     )
+    return _levels(days, keys)
+
+
+def daily_by_place(trades: DataFrame, nets: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    """One row per day and ``place`` in ``nets``, ways to count the net pips of the same trades.
+
+    All of them are summed side by side, so trades are shuffled once; only day rows are repeated.
+    """
+    inside = Window.partitionBy(*keys, "_day").orderBy("time").rowsBetween(FIRST, NOW)
+    days = trades.withColumn("_day", day_of(F.col("time"))).repartition(*keys, "_day")
+    days = days.withColumns({f"_net{n}": net for n, net in enumerate(nets)})
+    days = days.withColumns({f"_sum{n}": F.sum(f"_net{n}").over(inside) for n in range(len(nets))})
+    days = days.withColumns({f"_top{n}": F.max(f"_sum{n}").over(inside) for n in range(len(nets))})
+    sums = []
+    for n in range(len(nets)):
+        total = F.col(f"_sum{n}")
+        sums += [
+            F.sum(f"_net{n}").alias(f"_pnl{n}"),
+            F.max(total).alias(f"_peak{n}"),
+            F.min(total).alias(f"_low{n}"),
+            F.min(total - F.col(f"_top{n}")).alias(f"_drop{n}"),
+        ]
+    rows = [
+        F.struct(
+            F.lit(n).alias("place"),
+            F.col(f"_pnl{n}").alias("pnl"),
+            *[F.col(f"_{c}{n}").alias(f"_{c}") for c in ("peak", "low", "drop")],
+        )
+        for n in range(len(nets))
+    ]
+    counts = (F.count(F.lit(1)).alias("trades"), F.count_if(F.col("gross") > 0).alias("wins"))
+    wide = days.groupBy(*keys, "_day").agg(*counts, *sums)
+    return wide.select(*keys, "_day", "trades", "wins", F.inline(F.array(*rows)))
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str] = YEARLY) -> DataFrame:
@@ -87,7 +122,18 @@ def daily_pnl(trades: DataFrame, keys: Sequence[str] = YEARLY) -> DataFrame:
 
 
 def per_key(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Everything that needs the trades only, from one row per day.
+    """Everything that needs the trades only."""
+    return per_days(_days(_running(trades, keys), keys), keys)
+
+
+def per_place(trades: DataFrame, nets: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    """The same for several ways to count the net pips, ``place`` being a key of the result."""
+    placed = [*keys, "place"]
+    return per_days(_levels(daily_by_place(trades, nets, keys), placed), placed)
+
+
+def per_days(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Metrics from one row per day.
 
     The mean and deviation of the daily sums count the empty days between the first and the last
     entry as zeros: n zeros next to k values of mean m add m * m * k * n / (k + n) to the sum of
@@ -95,8 +141,7 @@ def per_key(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     drop = F.least(F.col("_drop"), F.col("_before") + F.col("_low") - F.col("_peak_before"))
     sums = (
-        _days(_running(trades, keys), keys)
-        .withColumn("_worst", drop)
+        days.withColumn("_worst", drop)
         .groupBy(*keys)
         .agg(
             F.sum("trades").alias("trades"),

@@ -1,7 +1,8 @@
 """Long ordered series without one task per series.
 
 A window over a whole symbol would put all of its rows into one task, and one symbol may hold a
-large part of the data. Three devices replace it, all exact:
+large part of the data. Three devices replace it. How a series is cut changes no result beyond the
+last digits of a double:
 
 * time slices plus one small summary row per slice, for numbering and running totals;
 * blocks cut by row position, each with the few neighbouring rows its windows reach into;
@@ -53,16 +54,24 @@ def numbered(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], layout: Layout = Layout(), time: str = "time"
+    df: DataFrame,
+    keys: Sequence[str],
+    layout: Layout = Layout(),
+    time: str = "time",
+    positions: str = "count",
 ) -> DataFrame:
     """Add ``pos``, the 0-based position of a row in its series by time.
 
-    A table that already has the column keeps it. Storing bars with their positions spares every
-    later step the numbering; series may then be filtered as a whole but not cut.
+    "count" numbers the rows of the table as it is; a column of that name is replaced. "given"
+    takes the column as it is, which spares the numbering where a table was stored with positions
+    and not cut since; window steps over a series with missing rows then stop with an error.
     """
-    if "pos" in df.columns:
+    if positions == "given":
         return df
-    return numbered(with_slice(df, layout, time), keys, ["_slice"], [time], "pos").drop("_slice")
+    if positions != "count":
+        raise ValueError(f"unknown positions: {positions}")
+    plain = df.drop("pos")
+    return numbered(with_slice(plain, layout, time), keys, ["_slice"], [time], "pos").drop("_slice")
 
 
 @dataclass(frozen=True)
@@ -113,7 +122,21 @@ class Blocks:
         """SQL text: this block, with its copied rows, begins at the start of the series."""
         return f"(_block * {self.layout.block_rows} <= {self.reach})"
 
-    def spread(self, df: DataFrame) -> DataFrame:
+    def spread(self, df: DataFrame, positions: str = "count") -> DataFrame:
+        """Rows with their block, copied into every block whose windows reach them.
+
+        Given positions are trusted for whole series only: the rows of each block are checked to follow one another from
+        where the block should begin; a series that ends early is a shorter series, no error.
+        """
+        spread = self._spread(df)
+        if positions != "given":
+            return spread
+        begin = f"greatest(_block * {self.layout.block_rows} - {self.reach}, 0)"
+        follows = f"pos = coalesce(lag(pos) {self.over()} + 1, {begin})"
+        cut = "raise_error('given positions of a series that was cut; number it anew')"
+        return spread.withColumn("pos", F.expr(f"case when {follows} then pos else {cut} end"))
+
+    def _spread(self, df: DataFrame) -> DataFrame:
         size = self.layout.block_rows
         first = F.expr(f"(pos - {self.ahead}) div {size}")
         last = F.expr(f"(pos + {self.reach}) div {size}")
@@ -130,14 +153,24 @@ class Blocks:
 
 # Weights below exp(-TAIL) of the current one cannot change a double.
 TAIL = 40.0
-# For ratios of two decaying sums the weights matter until they leave the range of a double.
-RATIO_TAIL = 600.0
+# factor^-p inside a piece stays below exp(PIECE_LIMIT), well inside the range of a double.
+PIECE_LIMIT = 600.0
+# A ratio of two decaying sums needs the weights from its last non-zero input on. It is given up,
+# by a count of rows and not by when a sum vanishes, once that input weighs less than
+# exp(-RATIO_SPAN); what lies another TAIL before cannot matter.
+RATIO_SPAN = 600.0
+RATIO_TAIL = RATIO_SPAN + TAIL
+
+
+def ratio_rows(factor: float) -> int:
+    """Rows for which a ratio of decaying sums outlives the last non-zero input."""
+    return math.floor(RATIO_SPAN / -math.log(factor))
 
 
 def layout_for(layout: Layout, factors: Sequence[float]) -> Layout:
     """Shorten the pieces until factor^-p stays well inside the range of a double."""
     rows = layout.sub_rows
-    while rows > 1 and any(-math.log(f) * rows > RATIO_TAIL for f in factors):
+    while rows > 1 and any(-math.log(f) * rows > PIECE_LIMIT for f in factors):
         rows //= 2
     return replace(layout, sub_rows=rows)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.config import Account, Barriers
 from barloom.functions.trading import CANDIDATES, Weight
 from barloom.operators.events import YEARLY
-from barloom.operators.metrics import finish_record, input_totals, per_key
+from barloom.operators.metrics import finish_record, input_totals, per_key, per_place
 
 
 def weight_of(candidates: Mapping[str, Weight]) -> Column:
@@ -40,13 +40,14 @@ def sizing_sweep(
 ) -> DataFrame:
     """Metrics per weight function.
 
-    Which trades happen does not depend on the weight, so trades are priced once and each is
-    repeated per function only for the aggregation.
+    Which trades happen does not depend on the weight, so trades are priced once, and every
+    function adds a column of net pips to them.
     """
     keys = [*YEARLY, "candidate", "place"]
-    tried = weighted(priced.select("*", names_of(candidates)), candidates)
+    nets = [F.col("gross") * weight(F.col("proba_max")) for weight in candidates.values()]
     totals = input_totals(inputs, barriers).select("*", names_of(candidates))
-    return finish_record(totals.join(per_key(tried, keys), keys, "left"), account, keys)
+    tried = totals.join(per_place(priced, nets, YEARLY), [*YEARLY, "place"], "left")
+    return finish_record(tried, account, keys)
 
 
 def best_candidate(sweep: DataFrame) -> DataFrame:

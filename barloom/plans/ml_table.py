@@ -37,6 +37,7 @@ def labelled_features(
     barriers: Barriers,
     spec: Indicators = Indicators(),
     layout: Layout = Layout(),
+    positions: str = "count",
 ) -> DataFrame:
     """Base bars with label and indicators, unlabelled tail removed, computed in one pass."""
     columns = [
@@ -50,7 +51,10 @@ def labelled_features(
         "Hour_Cos",
     ]
     base = bars.where(F.col("timeframe") == series.base)
-    return drop_unlabelled_tail(add_indicators(base, columns, spec, layout=layout, label=barriers))
+    labelled = add_indicators(
+        base, columns, spec, layout=layout, label=barriers, positions=positions
+    )
+    return drop_unlabelled_tail(labelled)
 
 
 def merged_features(
@@ -59,28 +63,31 @@ def merged_features(
     barriers: Barriers,
     spec: Indicators = Indicators(),
     layout: Layout = Layout(),
+    positions: str = "count",
 ) -> DataFrame:
     """Labelled features with the coarser timeframes and the side symbols as of each bar."""
-    left = labelled_features(bars, series, barriers, spec, layout)
+    left = labelled_features(bars, series, barriers, spec, layout, positions)
     rights = []
     for timeframe, suffix, lag in (
         (series.middle, "_H4", series.middle_lag),
         (series.coarse, "_D1", series.coarse_lag),
     ):
         coarse = bars.where(F.col("timeframe") == timeframe)
-        feats = base_features(coarse, suffix, spec, layout=layout).drop("timeframe")
+        feats = base_features(coarse, suffix, spec, layout=layout, positions=positions).drop("timeframe")
         payload = tuple(c for c in feats.columns if c not in ("symbol", "time"))
         rights.append(RightSide(feats, payload, lag))
     times = bars.where(F.col("timeframe") == series.base).select("symbol", "time")
     joined = asof_backward(left, rights, ["symbol"], layout, times)
-    return asof_by_time(joined, macro_sides(bars, series, layout), layout, times)
+    return asof_by_time(joined, macro_sides(bars, series, layout, positions), layout, times)
 
 
-def macro_sides(bars: DataFrame, series: Series, layout: Layout = Layout()) -> list[RightSide]:
+def macro_sides(
+    bars: DataFrame, series: Series, layout: Layout = Layout(), positions: str = "count"
+) -> list[RightSide]:
     sides = []
     for symbol, column in series.macro:
         side = bars.where((F.col("timeframe") == series.base) & (F.col("symbol") == symbol))
-        returns = log_returns(side, layout=layout, name=column)
+        returns = log_returns(side, layout=layout, name=column, positions=positions)
         sides.append(RightSide(returns.select("time", column), (column,), series.macro_lag))
     return sides
 
@@ -100,5 +107,6 @@ def ml_table(
     barriers: Barriers = Barriers(),
     spec: Indicators = Indicators(),
     layout: Layout = Layout(),
+    positions: str = "count",
 ) -> DataFrame:
-    return project(drop_incomplete(merged_features(bars, series, barriers, spec, layout)))
+    return project(drop_incomplete(merged_features(bars, series, barriers, spec, layout, positions)))

@@ -2,30 +2,71 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+# How rows of a series lie in a stored product, so that symbol and time filters skip row groups.
+SERIES_ORDER = ("symbol", "time")
+# Folders made by sessions of this process and not removed yet, by application.
+_made: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own machine.
+    A session on one machine may go without that setting and then gets a folder of its own. On a
+    cluster the setting must name its file system, because a bare path would be a different folder
+    on every machine wherever no shared file system is the default.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SETTING, None)
+    one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+    if not one_machine and not (base and re.match(r"[a-z][a-z0-9+.-]*:", base, re.IGNORECASE)):
+        raise ValueError(f"set {SETTING} to a folder that all executors share, with its scheme")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+        spark.conf.set(SETTING, base)
+    path = f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a product that several steps read and return the written table."""
+    """Write a product that several steps read and return the written table.
+
+    Rows of series are sorted inside the files by symbol and time.
+    """
     path = shared_folder(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    rows = df
+    if set(SERIES_ORDER) <= set(df.columns):
+        rows = df.sortWithinPartitions(*partition_by, *SERIES_ORDER)
+    rows.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def remove_products(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders that this session made, from the ``since``-th on; how many there were."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in made[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    count = len(made) - since
+    del made[since:]
+    return count
+
+
+@contextmanager
+def products(spark: SparkSession) -> Iterator[SparkSession]:
+    """Whatever is stored inside the block is deleted at its end; results must be out by then."""
+    since = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield spark
+    finally:
+        remove_products(spark, since)

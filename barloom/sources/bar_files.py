@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators.cleaning import PRICE_COLUMNS, TIME_FORMAT, parse_time
+from barloom.operators.cleaning import PRICE_COLUMNS, TIME_FORMATS, file_formats, parse_time
 
 RAW_COLUMNS = ("time", *PRICE_COLUMNS)
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
@@ -26,12 +26,45 @@ FILE_ORDER = ("file", "file_start", "line")
 
 
 def discover_bar_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """Paths of the raw files, empty ones included; an error if there is none."""
-    listed = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
-    if not listed:
+    """Path and length of the raw files, empty ones included; an error if there is none.
+
+    Scans leave empty files out, so the names are those of Spark's own file index, which lies on
+    the driver; nothing but names passes through it.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    found = reader.option("recursiveFileLookup", True).load(directory)
+    names = found.inputFiles()
+    if not names:
         raise FileNotFoundError(f"no {pattern} in {directory}")
-    files = spark.createDataFrame([(path,) for path in listed], "file string")
-    return files.select(plain_path(F.col("file")).alias("file"))
+    files = spark.createDataFrame([(path,) for path in names], "file string")
+    files = files.select(plain_path(F.col("file")).alias("file"))
+    sizes = found.select(plain_path(F.col("path")).alias("file"), "length")
+    return files.join(sizes, "file", "left").na.fill(0, ["length"])
+
+
+def checked_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
+    """The raw files with ``readable``: whether they can be read to their end.
+
+    A reader that goes on after an error returns what it had read of the file before, so the bytes
+    that its lines hold are compared with the file's length (the last line may lack its break).
+    """
+    lines = (
+        spark.read.option("ignoreCorruptFiles", True)
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
+        .option("lineSep", "\n")
+        .text(directory)
+        .select(plain_path(F.col("_metadata.file_path")).alias("file"), F.octet_length("value").alias("n"))
+    )
+    read = lines.groupBy("file").agg(F.sum(F.col("n") + 1).alias("bytes"))
+    files = discover_bar_files(spark, directory, pattern).join(read, "file", "left")
+    over = F.coalesce("bytes", F.lit(0)) - F.col("length")
+    return files.select("file", "length", ((over == 0) | (over == 1)).alias("readable"))
+
+
+def only_readable(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """Raw rows of files that could be read to their end; none of a file that could not."""
+    return raw.join(files.where("readable").select("file"), "file", "left_semi").select(*raw.columns)
 
 
 def plain_path(path: Column) -> Column:
@@ -43,13 +76,16 @@ def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -
     """All raw files of a directory as text columns, with the series taken from the file name.
 
     Columns are taken by position; more of them are ignored and missing ones are NULL. A heading
-    is an ordinary row here: its time cannot be parsed, so cleaning removes it.
+    is an ordinary row here: its time cannot be parsed, so cleaning removes it. A file that fails
+    on the way does not stop the others; ``checked_files`` tells which, and ``only_readable`` takes
+    out the rows that were read of it.
     """
     rows = (
         spark.read.schema(RAW_SCHEMA)
         .option("sep", "\t")
         .option("header", False)
         .option("mode", "PERMISSIVE")
+        .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", pattern)
         .csv(directory)
     )
@@ -81,21 +117,36 @@ def cleaned_name(name: Column) -> Column:
 
 
 def rejected_rows(
-    raw: DataFrame, files: DataFrame | None = None, fmt: str = TIME_FORMAT, name: str = "file"
+    raw: DataFrame,
+    files: DataFrame | None = None,
+    fmt: str | Sequence[str] = TIME_FORMATS,
+    name: str = "file",
+    order: Sequence[str] = FILE_ORDER,
 ) -> DataFrame:
     """Per file: rows, rows without a readable time, and whether nothing readable is in it.
 
     A file that cannot be read shows up here while the others go on. With ``files``, the result of
-    ``discover_bar_files``, empty files are listed too.
+    ``discover_bar_files`` or ``checked_files``, empty files are listed too, and a file that fails
+    on the way is unreadable whatever was read of it.
     """
     heading = F.coalesce(F.col("time").startswith("Time"), F.lit(False))
-    bad = parse_time(F.col("time"), fmt).isNull() & ~heading
-    counts = raw.groupBy(name).agg(
-        F.count_if(~heading).alias("rows"), F.count_if(bad).alias("rejected")
+    rows = raw.select(name, *[c for c in order if c != name], "time", heading.alias("_heading"))
+    if isinstance(fmt, str):
+        rows = rows.withColumn("_time", parse_time(F.col("time"), fmt))
+    else:
+        rows = rows.join(file_formats(rows, order, [name], fmt), name, "left")
+        fits = [F.when(F.col("time_format") == n, parse_time(F.col("time"), f)) for n, f in enumerate(fmt)]
+        rows = rows.withColumn("_time", F.coalesce(*fits))
+    counts = rows.groupBy(name).agg(
+        F.count_if(~F.col("_heading")).alias("rows"),
+        F.count_if(F.col("_time").isNull() & ~F.col("_heading")).alias("rejected"),
     )
+    unreadable = F.col("rejected") == F.col("rows")
     if files is not None:
         counts = files.join(counts, name, "left").na.fill(0, ["rows", "rejected"])
-    return counts.withColumn("unreadable", F.col("rejected") == F.col("rows"))
+        if "readable" in files.columns:
+            unreadable = unreadable | ~F.col("readable")
+    return counts.select(name, "rows", "rejected", unreadable.alias("unreadable"))
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -5,6 +5,8 @@ from helpers import bars_frame, close_enough, random_walk
 
 from barloom.config import Indicators, Layout
 from barloom.operators.indicators import add_indicators, base_features, log_returns
+from barloom.operators.labels import triple_barrier_label
+from barloom.operators.series import with_position
 
 COLUMNS = ["Log_Return", "EMA_9", "Dist_EMA_50", "RSI_14", "ATR_14", "ADX_14", "BB_Width"]
 
@@ -21,10 +23,12 @@ def loop_ema(x, n):
 
 
 def loop_wilder(x, n=14, start="first"):
+    """A value that is missing again later ends the mean, and the next one starts another."""
     out, y, seen, weight = [], None, [], 0.0
     for v in x:
         if v is None:
             out.append(None)
+            y, weight = None, 0.0
             continue
         seen.append(v)
         if start == "first":
@@ -40,13 +44,31 @@ def loop_wilder(x, n=14, start="first"):
     return out
 
 
+def loop_ratio(up, down, ups, downs, limit=8_096):
+    """100 * up / (up + down) of two means, given up once nothing moved for more than ``limit`` bars.
+
+    The means decay alike while nothing moves, so the ratio is held instead of being taken from
+    numbers that run out of digits.
+    """
+    out, move, held = [], None, None
+    for i, (a, b) in enumerate(zip(up, down)):
+        moves = (ups[i] or 0) > 0 or (downs[i] or 0) > 0
+        if moves:
+            move = i
+        if a is not None and a + b > 0 and (moves or held is None):
+            held = (a / (a + b), b / (a + b))
+        out.append(held if move is not None and i - move <= limit else None)
+    return out
+
+
 def expected(rows, start="first", first_range="null", sd="population"):
     high, low, close = ([float(r[k]) for r in rows] for k in (1, 2, 3))
     n = len(rows)
     change = [None] + [close[i] - close[i - 1] for i in range(1, n)]
-    gain = loop_wilder([None if c is None else max(c, 0.0) for c in change], start=start)
-    loss = loop_wilder([None if c is None else max(-c, 0.0) for c in change], start=start)
-    rsi = [None if g is None or g + l == 0 else 100 * g / (g + l) for g, l in zip(gain, loss)]
+    gains = [None if c is None else max(c, 0.0) for c in change]
+    losses = [None if c is None else max(-c, 0.0) for c in change]
+    gain, loss = loop_wilder(gains, start=start), loop_wilder(losses, start=start)
+    rsi = [r and 100 * r[0] for r in loop_ratio(gain, loss, gains, losses)]
     rng = [high[0] - low[0] if first_range == "high_low" else None]
     plus, minus = [None], [None]
     for i in range(1, n):
@@ -63,10 +85,8 @@ def expected(rows, start="first", first_range="null", sd="population"):
             y += (r - y) / 14
         atr.append(y)
     p, m = loop_wilder(plus, start=start), loop_wilder(minus, start=start)
-    dx = [
-        None if i < 13 or p[i] is None or p[i] + m[i] == 0 else 100 * abs(p[i] - m[i]) / (p[i] + m[i])
-        for i in range(n)
-    ]
+    shares = loop_ratio(p, m, plus, minus)
+    dx = [None if i < 13 or s is None else 100 * abs(s[0] - s[1]) for i, s in enumerate(shares)]
     c = pd.Series(close)
     ddof = 0 if sd == "population" else 1
     width = 4 * c.rolling(20).std(ddof=ddof) / c.rolling(20).mean()
@@ -151,3 +171,42 @@ def test_zero_close_gives_null_not_an_error(spark):
 def test_base_features_carry_the_suffix(spark):
     df = base_features(bars_frame(spark, random_walk(60, seed=3)), "_H4")
     assert df.columns[3:] == ["RSI_14_H4", "Dist_EMA_20_H4", "Dist_EMA_50_H4"]
+
+
+@pytest.mark.parametrize("last", [49, 1_000, 2_040, 2_047, 2_048])
+def test_a_flat_series_gives_the_same_in_every_layout(spark, last):
+    """The last move may fall anywhere into a piece; then nothing, then moves again."""
+    rows = random_walk(last + 1, seed=last, gap=False)
+    final = rows[-1][3] + 3
+    rows[-1] = (last, final + 2, final - 1, final)
+    rows += [(last + 1 + i, final, final, final) for i in range(8_110)]
+    rows += [(len(rows) + h, *bar) for h, *bar in random_walk(40, seed=1, gap=False)]
+    wanted = ["RSI_14", "ADX_14", "EMA_9", "ATR_14"]
+    want = expected(rows)
+    for layout in (Layout(), Layout(block_rows=4_096), Layout(block_rows=1_024, sub_rows=256)):
+        got = add_indicators(bars_frame(spark, rows), wanted, layout=layout).orderBy("time").collect()
+        for column in wanted:
+            for i, row in enumerate(got):
+                assert close_enough(row[column], want[column][i], 1e-8), (layout, column, i, row[column], want[column][i])
+    assert want["RSI_14"][last + 8_096] is not None and want["RSI_14"][last + 8_097] is None
+
+
+def test_a_cut_series_is_numbered_anew(spark):
+    rows = random_walk(400, seed=3)
+    stored = with_position(bars_frame(spark, rows), ["symbol", "timeframe"])
+    for cut in ("pos >= 100", "time >= '2024-02-01'", "pos < 100 or pos > 140"):
+        left = stored.where(cut)
+        places = sorted(r.pos for r in left.collect())
+        want = expected([rows[p] for p in places])
+        got = add_indicators(left, COLUMNS).orderBy("time").collect()
+        for column in COLUMNS:
+            assert all(close_enough(r[column], w) for r, w in zip(got, want[column])), (cut, column)
+        for step in (
+            lambda df: add_indicators(df, COLUMNS, positions="given"),
+            lambda df: log_returns(df, positions="given"),
+            lambda df: triple_barrier_label(df, positions="given"),
+        ):
+            with pytest.raises(Exception, match="cut"):
+                step(left).collect()
+    whole = add_indicators(stored.where("pos < 300"), COLUMNS, positions="given").orderBy("time").collect()
+    assert close_enough(whole[-1].RSI_14, expected(rows[:300])["RSI_14"][-1])

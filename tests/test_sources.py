@@ -1,16 +1,20 @@
+from pathlib import Path
+
 import pytest
 from helpers import bars_frame, random_walk
 from pyspark.sql import functions as F
 
 from barloom.config import Account, Barriers
 from barloom.operators.audit import merge_null_audit, row_loss_audit
-from barloom.operators.cleaning import clean_bars, clean_summary
-from barloom.session import shared_folder, stored
+from barloom.operators.cleaning import clean_bars, clean_summary, parse_number
+from barloom.session import products, shared_folder, stored
 from barloom.sources.bar_files import (
     BAR_SCHEMA,
     FILE_ORDER,
+    checked_files,
     cleaned_name,
     discover_bar_files,
+    only_readable,
     optional_source,
     read_bars,
     read_raw_bars,
@@ -111,12 +115,69 @@ def test_stored_products_lie_in_the_shared_folder(spark):
 
 def test_row_loss(spark):
     ten, nine, none = spark.range(10), spark.range(9), spark.range(0)
-    got = {r.step: r for r in row_loss_audit([("a", ten, nine), ("b", nine, ten), ("c", none, none)]).collect()}
+    chains = [[("", ten), ("a", nine), ("b", ten)], [("", none), ("c", none)]]
+    got = {r.step: r for r in row_loss_audit(chains).collect()}
     assert (got["a"].delta, got["a"].lost_pct, got["a"].flagged) == (-1, 10.0, True)
     assert (got["b"].delta, got["b"].lost_pct, got["b"].flagged) == (1, 0.0, False)
     assert (got["c"].before, got["c"].lost_pct, got["c"].flagged) == (0, 0.0, False)
 
 
+def test_row_loss_per_key_names_keys_that_are_gone(spark):
+    some = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, v int")
+    got = {(r.k, r.before, r.after) for r in row_loss_audit([[("", some), ("a", some.where("v < 2"))]], ["k"]).collect()}
+    assert got == {("x", 2, 1), ("y", 1, 0)}
+
+
+def test_a_file_that_fails_on_the_way_is_reported_and_the_others_go_on(spark, tmp_path):
+    good, bad = tmp_path / "GOODUS_H1.csv", tmp_path / "BADUSD_H1.csv"
+    good.write_text(HEAD + line("2024-01-01 00:00:00"))
+    bad.write_text(HEAD + "".join(line(f"2024-01-{d:02d} {h:02d}:00:00") for d in range(1, 29) for h in range(24)))
+    (tmp_path / ".BADUSD_H1.csv.crc").write_bytes(b"crc\x00\x00\x00\x02\x00" + b"\x01\x02\x03\x04" * 60)
+    raw, files = read_raw_bars(spark, str(tmp_path)), checked_files(spark, str(tmp_path))
+    report = {r.file.rsplit("/", 1)[1]: r.unreadable for r in rejected_rows(raw, files).collect()}
+    assert report == {"GOODUS_H1.csv": False, "BADUSD_H1.csv": True}
+    assert [r.symbol for r in clean_bars(only_readable(raw, files), FILE_ORDER).collect()] == ["GOODUS"]
+
+
+def test_every_file_has_its_own_time_format(spark, tmp_path):
+    for n, (first, second) in enumerate(
+        [("2024.01.02 03:00:00", "2024.01.02 04:00:00"), ("2024-01-02 03:00", "2024-01-02 04:00"), ("2024-01-02", "2024-01-03")]
+    ):
+        (tmp_path / f"AAABB{'CDE'[n]}_H1.csv").write_text(HEAD + line("garbage") + line(first) + line(second) + line("2024-01-05T01:00:00"))
+    got = clean_summary(clean_bars(read_raw_bars(spark, str(tmp_path)), FILE_ORDER)).collect()
+    assert {(r.symbol, r.rows) for r in got} == {("AAABBC", 2), ("AAABBD", 2), ("AAABBE", 2)}
+
+
+def test_numbers_are_decimal_numbers(spark):
+    texts = ["12", " -1.5e3 ", ".5", "5.", "12d", "1.5f", "Infinity", "inf", "NaN", "1e999", "0x1p3", "", "1,5", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_number(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == [12.0, -1500.0, 0.5, 5.0, *[None] * 10]
+
+
+def test_products_end_with_their_owner(spark, tmp_path):
+    before = stored(bars_frame(spark, random_walk(5, seed=1)))
+    with products(spark):
+        inner = stored(bars_frame(spark, random_walk(9, seed=1)))
+        assert inner.count() == 9
+        folder = inner.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert not Path(folder).exists() and before.count() == 5
+
+
+def test_a_cluster_needs_a_folder_with_its_file_system():
+    class Session:
+        """A session on a cluster, as far as the folder asks."""
+
+        def __init__(self, base, master="spark://host:7077"):
+            self.conf = {"spark.checkpoint.dir": base} if base else {}
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-x"})
+
+    for base in (None, "/tmp/x"):
+        for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+            with pytest.raises(ValueError):
+                shared_folder(Session(base, master))
+    assert shared_folder(Session("hdfs://host/x")).startswith("hdfs://host/x/barloom-")
+
+
 def test_merge_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, 2), (3, 3)], "a int, b int")
     got = {r.merge: r for r in merge_null_audit(df, {"x": "a", "y": "b"}).collect()}
