@@ -136,7 +136,13 @@ def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int):
     }
 
 
-FEATURES = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
+MODEL_COLUMNS = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
+# The features of the table, in its order.
+FEATURES = (
+    "Log_Return Dist_EMA_9 Dist_EMA_21 Dist_EMA_50 RSI_14 ADX_14 ATR_Norm BB_Width Hour_Sin Hour_Cos"
+    " RSI_14_H4 Dist_EMA_20_H4 Dist_EMA_50_H4 RSI_14_D1 Dist_EMA_20_D1 Dist_EMA_50_D1 XAU_Return"
+    " CHF_Return"
+).split()
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 
 CANDIDATES = """(VALUES ('linear_0.5-1.5', 0), ('linear_0.8-1.2', 1), ('exp_0.5-1.5', 2),
@@ -166,6 +172,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     **indicator_ctes("ev", "ev_bars"),
     **indicator_ctes("od", "od_bars"),
     **indicator_ctes("day", "day_bars"),
+    **indicator_ctes("late", "late_bars"),
     **label_cte("ev", "ev_pos", "H1", 40_000, 20_000),
     **label_cte("od", "od_pos", "D1", 800_000, 400_000),
     **label_cte("day", "day_pos", "D1", 800_000, 400_000),
@@ -197,10 +204,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ASOF LEFT JOIN (SELECT * FROM od_side WHERE series = 'CHF_Return') h ON f.time >= h.time""",
         ("od_feat", "od_label", "od_side"),
     ),
-    "feats": (
-        """SELECT f.*, l.target FROM day_feat f JOIN day_label l USING (symbol, time)""",
-        ("day_feat", "day_label"),
-    ),
+    "table_rows": (f"SELECT * FROM merged WHERE {COMPLETE}", ("merged",)),
+    "late_bars": ("SELECT * FROM day_bars WHERE time >= TIMESTAMP '1998-01-01'", ("day_bars",)),
     "rule": (
         """SELECT symbol, time, high, low, close, target AS y, spread, u, n, d,
             CASE WHEN d >= n AND d >= u THEN -1 WHEN n >= u THEN 0 ELSE 1 END AS yhat,
@@ -220,9 +225,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                 CASE WHEN yhat = 1 AND conf_up / 100 >= 0.45 THEN 1
                     WHEN yhat = -1 AND conf_down / 100 >= 0.45 THEN -1 ELSE 0 END AS signal,
                 {', '.join(f'f.{c}' for c in FEATURES)}
-            FROM rule r JOIN feats f USING (symbol, time)
-            WHERE f.target IS NOT NULL AND {COMPLETE})""",
-        ("rule", "feats"),
+            FROM rule r JOIN table_rows f USING (symbol, time))""",
+        ("rule", "table_rows"),
     ),
     "passage": (
         """SELECT symbol, year, time, spread, proba_max, signal, pos,
@@ -482,6 +486,35 @@ ML_9 = (
 )
 ML_6 = ("RSI_14", "ADX_14", "RSI_14_H4", "RSI_14_D1")
 
+# The rule's importance: rows numbered by a hash, their values sent on by r -> (a r + b) mod n, with
+# a and b from the seed, the feature and the repeat, a being the next number coprime to n.
+PERMUTED = """, held AS (
+    SELECT row_number() OVER (ORDER BY md5(symbol || '|' || strftime(time, '%Y-%m-%d %H:%M:%S'))) - 1 AS row,
+        count(*) OVER () AS n, Target + 1 AS label, RSI_14, ATR_Norm
+    FROM table_rows WHERE year(time) = 2000
+), seeds AS (
+    SELECT place, repeat, n, (((43 * 1000003 + place + 1) % 2147483647) * 1000003 + repeat + 1)
+        % 2147483647 AS state
+    FROM (SELECT DISTINCT n FROM held), range(2) p(place), range(10) q(repeat)
+), maps AS (
+    SELECT place, repeat, n, (SELECT min(x) FROM range(1 + state % n, 1 + state % n + 200) y(x)
+        WHERE gcd(x, n) = 1) AS a, (state * 7919 + 104729) % n AS b FROM seeds
+), moved AS (
+    SELECT m.place, m.repeat, (m.a * h.row + m.b) % m.n AS row, CASE m.place WHEN 0 THEN h.RSI_14 END AS v
+    FROM held h, maps m
+), judged AS (
+    SELECT m.place, m.repeat, h.label, coalesce(m.v, h.RSI_14) AS rsi FROM held h JOIN moved m USING (row)
+    UNION ALL SELECT -1, 0, label, RSI_14 FROM held
+), scored_rule AS (
+    SELECT place, repeat, avg(CASE WHEN label = CASE WHEN rsi > 55 THEN 2 WHEN rsi < 45 THEN 0 ELSE 1 END
+        THEN 1.0 ELSE 0.0 END) AS accuracy FROM judged GROUP BY 1, 2
+), permuted AS (
+    SELECT CASE place WHEN 0 THEN 'RSI_14' ELSE 'ATR_Norm' END AS feature,
+        round_even((SELECT accuracy FROM scored_rule WHERE place = -1) - avg(accuracy), 5) + 0.0
+            AS permutation_mean, round_even(stddev_pop(accuracy), 5) + 0.0 AS permutation_std
+    FROM scored_rule WHERE place >= 0 GROUP BY place
+)"""
+
 COUNT = "SELECT CAST(count(*) AS BIGINT) FROM"
 BOX = "proba_hausse, proba_neutre, proba_baisse"
 
@@ -556,7 +589,7 @@ ORACLE: dict[str, str] = {
     "model_features": sql(
         f"""SELECT f.symbol, f.time, {r(9, 'Dist_EMA_50', 'ATR_Norm')}, {r(6, 'RSI_14', 'ADX_14')}
         FROM day_feat f JOIN day_label l ON f.symbol = l.symbol AND f.time = l.time
-        WHERE l.target IS NOT NULL AND {COMPLETE}""",
+        WHERE l.target IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_COLUMNS)}""",
         "day_feat",
         "day_label",
     ),
@@ -565,18 +598,22 @@ ORACLE: dict[str, str] = {
         " AS lost_pct, greatest(before - after, 0) / before * 100 > 5 AS flagged FROM ("
         + " UNION ALL ".join(
             [
-                audit_row("label", f"{COUNT} feats", f"{COUNT} feats WHERE target IS NOT NULL"),
+                audit_row("label", f"{COUNT} day_bars", f"{COUNT} day_label WHERE target IS NOT NULL"),
+                audit_row(
+                    "features", f"{COUNT} day_label WHERE target IS NOT NULL", f"{COUNT} table_rows"
+                ),
                 audit_row(
-                    "features",
-                    f"{COUNT} feats WHERE target IS NOT NULL",
-                    f"{COUNT} feats WHERE target IS NOT NULL AND {COMPLETE}",
+                    "join prices",
+                    "SELECT CAST(count(*) + count_if(day(time) % 10 = 7) AS BIGINT) FROM rule",
+                    f"{COUNT} rule",
                 ),
-                audit_row("join prices", f"{COUNT} rule", f"{COUNT} rule"),
                 audit_row("join features", f"{COUNT} rule", f"{COUNT} sig"),
             ]
         )
         + ")",
-        "feats",
+        "day_bars",
+        "day_label",
+        "table_rows",
         "rule",
         "sig",
     ),
@@ -645,8 +682,8 @@ ORACLE: dict[str, str] = {
         "trades",
     ),
     "trades_enriched": sql(
-        f"""SELECT symbol, year, time, result, {BOX}, {r(6, 'net', 'gross', 'weight', 'RSI_14', 'ADX_14')},
-            {r(9, 'Log_Return', 'Dist_EMA_50', 'ATR_Norm', 'BB_Width')} FROM enriched""",
+        f"""SELECT symbol, year, time, result, {BOX}, {r(6, 'net', 'gross', 'weight', *ML_6)},
+            {r(9, *ML_9)} FROM enriched""",
         "enriched",
     ),
     "win_rate_profit": sql(
@@ -781,13 +818,28 @@ ORACLE: dict[str, str] = {
             round(sum(f1 * support) / sum(support), 6) FROM class_scores GROUP BY 1""",
         "class_scores",
     ),
+    "rejected_files": sql(
+        """SELECT symbol, count(*) AS rows, CAST(count_if(bad_time) AS BIGINT) AS rejected,
+            count_if(bad_time) = count(*) AS unreadable FROM raw GROUP BY 1""",
+        "raw",
+    ),
+    "bars_round_trip": sql("SELECT * FROM day_bars", "day_bars"),
+    "missing_year": sql(
+        """SELECT CAST(year(time) AS INTEGER) AS year, count(*) AS rows FROM day_bars
+        WHERE year(time) IN (2000, 2035) GROUP BY 1""",
+        "day_bars",
+    ),
+    "feat_ema_since": feature("late", "D1", 2, "EMA_20", "EMA_50"),
+    "permutation_by_rule": sql(f"{PERMUTED} SELECT * FROM permuted", "table_rows"),
     "importance_filter": sql(
-        "SELECT feature, round(m, 7) AS permutation_mean, round(s, 7) AS permutation_std FROM ("
-        + " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, avg({c}) AS m, stddev_pop({c}) AS s FROM day_feat"
-            for c in FEATURES
-        )
-        + ") WHERE m >= 2 * s",
-        "day_feat",
+        f"{PERMUTED} SELECT * FROM permuted WHERE permutation_mean >= 2 * permutation_std", "table_rows"
+    ),
+    "forest_checks": sql(
+        """SELECT CAST(year(time) AS INTEGER) AS year, count(*) AS rows, CAST(0 AS BIGINT) AS wrong_sum,
+            CAST(0 AS BIGINT) AS not_most FROM table_rows WHERE year(time) IN (2000, 2001) GROUP BY 1""",
+        "table_rows",
     ),
+    "impurity_checks": """SELECT CAST(9 AS BIGINT) AS features, CAST(100 AS DOUBLE) AS total_pct,
+        CAST(0 AS BIGINT) AS negative, 'ADX_14,ATR_Norm,Dist_EMA_20_D1,Dist_EMA_20_H4,Dist_EMA_50,'
+        || 'Dist_EMA_50_H4,RSI_14,RSI_14_D1,RSI_14_H4' AS names""",
 }

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.config import DROPPED_FEATURES, Account, Barriers, Forest, Split
+from barloom.config import DROPPED_FEATURES, ML_COLUMNS, Account, Barriers, Forest, Split
+from barloom.functions.clock import shift_hours
 from barloom.functions.trading import (
     CANDIDATES,
     max_confidence,
@@ -52,10 +53,10 @@ ORDER_SERIES = Series("D1", "D7", "D14", (("2-HIGH", "XAU_Return"), ("5-LOW", "C
 ACCOUNT = Account(capital=400_000_000.0)
 RULES = Rules(ORDER_BARRIERS, ACCOUNT)
 SPLIT = Split(train_end=1999, validate=2000, test=2001)
-SMALL_FOREST = Forest(trees=20, repeats=3)
-FEATURES = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
+FOREST = Forest()
+FEATURES = tuple(c for c in ML_COLUMNS if c not in ("Target", "Spread"))
+MODEL_COLUMNS = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
 TIME_KEYS = ("symbol", "time")
-SERIES_KEYS = ("symbol", "timeframe")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,12 +83,6 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(bars_from_orders(spark, sf_dir), ["timeframe"])
 
 
-def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with position, label and indicators."""
-    bars = daily(spark, sf_dir)
-    return stored(add_indicators(bars, FEATURES, label=ORDER_BARRIERS, positions="given"))
-
-
 def rule_predictions(bars: DataFrame) -> DataFrame:
     """Predictions by a fixed rule on the position, in place of a model."""
     up = F.expr("(pos * 7919 + 17) % 101 + 1")
@@ -114,18 +109,35 @@ def rule_predictions(bars: DataFrame) -> DataFrame:
     )
 
 
-def predictions(table: DataFrame) -> DataFrame:
-    return rule_predictions(table).drop("p_down", "p_flat", "p_up")
+def ruled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the rule, with class probabilities, for every daily bar."""
+    bars = daily(spark, sf_dir)
+    return rule_predictions(triple_barrier_label(bars, ORDER_BARRIERS, positions="given"))
+
+
+def predictions(ruled: DataFrame) -> DataFrame:
+    return ruled.drop("p_down", "p_flat", "p_up")
+
+
+def with_strays(ruled: DataFrame) -> DataFrame:
+    """Predictions, some of them also for a time half a day later, at which there is no bar."""
+    late = ruled.where(F.expr("day(time) % 10 = 7")).withColumn("time", shift_hours(F.col("time"), 12.0))
+    return ruled.unionByName(late)
 
 
-def inputs_of(table: DataFrame) -> DataFrame:
-    features = drop_incomplete(table).select(*TIME_KEYS, "Target", *FEATURES)
-    return evaluation_inputs(predictions(table), table, features)
+def evaluation_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, daily bars and the feature table, as three products that know nothing of each
+    other but symbol and time."""
+    bars = order_bars(spark, sf_dir)
+    table = stored(ml_table(bars, ORDER_SERIES, ORDER_BARRIERS, positions="given"))
+    base = bars.where(F.col("timeframe") == ORDER_SERIES.base)
+    ruled = rule_predictions(triple_barrier_label(base, ORDER_BARRIERS, positions="given"))
+    return with_strays(predictions(ruled)), base, table
 
 
 def inputs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation inputs for a query that reads them once."""
-    return inputs_of(order_features(spark, sf_dir))
+    return evaluation_inputs(*evaluation_tables(spark, sf_dir))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,18 +180,57 @@ def q_raw_files(spark, sf_dir):
 
     Rows are range-partitioned by line, so that file order is line order.
     """
+    raw, files = written_files(spark, sf_dir)
+    return cleaning.clean_bars(bar_files.only_readable(raw, files), bar_files.FILE_ORDER)
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = shared_folder(spark)
     text = F.concat_ws("\t", *bar_files.RAW_COLUMNS, F.col("line").cast("string"))
     series = F.concat("symbol", F.lit("_"), "timeframe", F.lit(".csv"))
     lines = raw_rows(spark, sf_dir).select(series.alias("series"), "line", text.alias("value"))
     lines = lines.repartitionByRange("series", "line").sortWithinPartitions("series", "line")
     lines.drop("line").write.partitionBy("series").text(path)
-    raw = bar_files.read_raw_bars(spark, path, "*.txt")
-    return cleaning.clean_bars(raw, bar_files.FILE_ORDER)
+    return bar_files.read_raw_bars(spark, path, "*.txt"), bar_files.checked_files(spark, path, "*.txt")
+
+
+def q_rejected_files(spark, sf_dir):
+    """Per file what the reader rejects, summed per series, because a series is many files."""
+    raw, files = written_files(spark, sf_dir)
+    report = bar_files.rejected_rows(raw, files)
+    symbol = bar_files.symbol_of(F.col("file")).alias("symbol")
+    return report.groupBy(symbol).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("rejected").alias("rejected"),
+        F.bool_or("unreadable").alias("unreadable"),
+    )
+
+
+def q_bars_round_trip(spark, sf_dir):
+    path = shared_folder(spark)
+    bar_files.write_table(daily(spark, sf_dir).drop("pos"), path, ["symbol", "timeframe"], ["time"])
+    return bar_files.read_bars(spark, path)
+
+
+def q_missing_year(spark, sf_dir):
+    """Bars per year of two yearly products, of which one does not exist."""
+    path, bars = shared_folder(spark), daily(spark, sf_dir).drop("pos")
+    bar_files.write_table(filters.year_slice(bars, [2000]).drop("year"), f"{path}/2000")
+    years = [
+        bar_files.optional_source(spark, f"{path}/{year}", bar_files.BAR_SCHEMA).withColumn("year", F.lit(year))
+        for year in (2000, 2035)
+    ]
+    return years[0].unionByName(years[1]).groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_feat_ema_since(spark, sf_dir):
+    """Means over stored bars of the later years only, which are numbered anew."""
+    late = order_bars(spark, sf_dir).where((F.col("timeframe") == "D1") & (F.col("time") >= filters.year_start(1998)))
+    return rounded(add_indicators(late, ("EMA_20", "EMA_50")).select(*TIME_KEYS, "EMA_20", "EMA_50"), 2)
 
 
 def q_clean_bars(spark, sf_dir):
-    return cleaning.clean_bars(raw_rows(spark, sf_dir), ["line"])
+    return cleaning.clean_bars(raw_rows(spark, sf_dir), ["line"], fmt=cleaning.TIME_FORMAT)
 
 
 def q_clean_summary(spark, sf_dir):
@@ -193,7 +244,9 @@ def q_clean_summary(spark, sf_dir):
 
 
 def q_rejected_rows(spark, sf_dir):
-    return bar_files.rejected_rows(raw_rows(spark, sf_dir), name="symbol")
+    return bar_files.rejected_rows(
+        raw_rows(spark, sf_dir), fmt=cleaning.TIME_FORMAT, name="symbol", order=["line"]
+    )
 
 
 def q_label_triple_barrier(spark, sf_dir):
@@ -297,18 +350,15 @@ def q_model_features(spark, sf_dir):
 
 
 def q_row_loss_audit(spark, sf_dir):
-    table = order_features(spark, sf_dir)
-    labelled = drop_unlabelled_tail(table)
-    complete = drop_incomplete(labelled)
-    ruled = predictions(table)
-    joined = events.join_prices(ruled, table)
-    feats = complete.select(*TIME_KEYS, "Target", *FEATURES)
+    ruled, base, table = evaluation_tables(spark, sf_dir)
+    labelled = drop_unlabelled_tail(triple_barrier_label(base, ORDER_BARRIERS, positions="given"))
+    joined = events.join_prices(ruled, base)
     chains = [
-        [("bars", table), ("label", labelled), ("features", complete)],
+        [("bars", base), ("label", labelled), ("features", table)],
         [
             ("predictions", ruled),
             ("join prices", joined),
-            ("join features", events.join_features(joined, feats)),
+            ("join features", events.join_features(joined, table)),
         ],
     ]
     return rounded(audit.row_loss_audit(chains))
@@ -352,7 +402,7 @@ def q_weights(spark, sf_dir):
 
 
 def q_max_confidence(spark, sf_dir):
-    rows = predictions(order_features(spark, sf_dir))
+    rows = predictions(ruled_bars(spark, sf_dir))
     return rounded(rows.select(*TIME_KEYS, max_confidence().alias("proba_max")))
 
 
@@ -388,7 +438,7 @@ def enriched(spark, sf_dir) -> DataFrame:
 
 
 def q_trades_enriched(spark, sf_dir):
-    return rounded(enriched(spark, sf_dir), 9, RSI_14=6, ADX_14=6, net=6, gross=6, weight=6)
+    return rounded(enriched(spark, sf_dir), 9, **ML_DIGITS, net=6, gross=6, weight=6)
 
 
 def q_win_rate_profit(spark, sf_dir):
@@ -457,28 +507,29 @@ def q_box_stats(spark, sf_dir):
     return rounded(losses.box_stats(enriched(spark, sf_dir)), 4)
 
 
-def sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Inputs, and the sweep on the validation year; trades are found for that year alone."""
     rows = inputs(spark, sf_dir)
-    found = stored(priced_trades(rows, RULES))
     val_rows = filters.year_slice(rows, [SPLIT.validate])
-    val_trades = filters.year_slice(found, [SPLIT.validate])
-    return rows, found, sizing.sizing_sweep(val_trades, val_rows, ORDER_BARRIERS, ACCOUNT)
+    val_trades = priced_trades(val_rows, RULES)
+    return rows, sizing.sizing_sweep(val_trades, val_rows, ORDER_BARRIERS, ACCOUNT)
 
 
 def q_sizing_sweep(spark, sf_dir):
-    return rounded(sweep(spark, sf_dir)[2], 4)
+    return rounded(sweep(spark, sf_dir)[1], 4)
 
 
 def q_best_candidate(spark, sf_dir):
-    return rounded(sizing.best_candidate(sweep(spark, sf_dir)[2]), 4)
+    return rounded(sizing.best_candidate(sweep(spark, sf_dir)[1]), 4)
 
 
 def q_confirm_on_test(spark, sf_dir):
-    rows, found, tried = sweep(spark, sf_dir)
+    rows, tried = sweep(spark, sf_dir)
+    test_rows = filters.year_slice(rows, [SPLIT.test])
     confirmed = sizing.confirm_on_test(
         sizing.best_candidate(tried),
-        filters.year_slice(found, [SPLIT.test]),
-        filters.year_slice(rows, [SPLIT.test]),
+        priced_trades(test_rows, RULES),
+        test_rows,
         ORDER_BARRIERS,
         ACCOUNT,
     )
@@ -492,11 +543,11 @@ def q_class_weights(spark, sf_dir):
 
 
 def q_prediction_table(spark, sf_dir):
-    return scores.prediction_table(rule_predictions(order_features(spark, sf_dir)))
+    return scores.prediction_table(ruled_bars(spark, sf_dir))
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    ruled = predictions(order_features(spark, sf_dir)).where(F.col("y").isNotNull())
+    ruled = predictions(ruled_bars(spark, sf_dir)).where(F.col("y").isNotNull())
     return filters.year_slice(ruled, SPLIT.evaluation_years)
 
 
@@ -508,28 +559,29 @@ def q_classification_report(spark, sf_dir):
     return rounded(scores.classification_report(scored(spark, sf_dir)))
 
 
+def rule_scorer(rows: DataFrame) -> DataFrame:
+    """A fixed rule in place of a model: the side of the middle on which the RSI lies."""
+    rsi = F.col("values")[0]
+    return rows.withColumn("prediction", F.when(rsi > 55, 2.0).when(rsi < 45, 0.0).otherwise(1.0))
+
+
+RULE_FEATURES = ("RSI_14", "ATR_Norm")
+
+
+def q_permutation_by_rule(spark, sf_dir):
+    """Permutation importance of a rule that reads one of two features."""
+    table = stored(full_table(spark, sf_dir))
+    return training.permutation_importance(rule_scorer, table, RULE_FEATURES, SPLIT.validate, FOREST)
+
+
 def q_importance_filter(spark, sf_dir):
-    """The rule on a stand-in for importances: mean and deviation of every feature."""
-    table = add_indicators(daily(spark, sf_dir), FEATURES, positions="given")
-    sums = table.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in FEATURES],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES],
-    )
-    rows = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(f"m_{c}").alias("permutation_mean"),
-            F.col(f"s_{c}").alias("permutation_std"),
-        )
-        for c in FEATURES
-    ]
-    return rounded(filters.importance_filter(sums.select(F.inline(F.array(*rows)))), 7)
+    return filters.importance_filter(q_permutation_by_rule(spark, sf_dir))
 
 
 def fitted(spark, sf_dir):
     table = stored(full_table(spark, sf_dir))
     names = filters.feature_columns(table)
-    return table, names, training.train_forest(table, names, SPLIT, SMALL_FOREST)
+    return table, names, training.train_forest(table, names, SPLIT, FOREST)
 
 
 def q_forest_predictions(spark, sf_dir):
@@ -539,19 +591,57 @@ def q_forest_predictions(spark, sf_dir):
     )
 
 
+def q_forest_checks(spark, sf_dir):
+    """Per year: rows scored, probabilities that do not add up, and classes that are not the most
+    probable one."""
+    table, _, model = fitted(spark, sf_dir)
+    p = [F.col(c) for c in ("p_down", "p_flat", "p_up")]
+    scored = training.predict_proba(model, table, SPLIT.evaluation_years)
+    most = F.greatest(*p)
+    chosen = F.when(F.col("yhat") == -1, p[0]).when(F.col("yhat") == 0, p[1]).otherwise(p[2])
+    return scored.groupBy("year").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.abs(p[0] + p[1] + p[2] - 1) > 1e-9).alias("wrong_sum"),
+        F.count_if(chosen < most).alias("not_most"),
+    )
+
+
 def q_impurity_importance(spark, sf_dir):
     _, names, model = fitted(spark, sf_dir)
     return training.impurity_importance(model, names)
 
 
+def q_impurity_checks(spark, sf_dir):
+    shares = q_impurity_importance(spark, sf_dir)
+    return shares.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("impurity_pct")).alias("total_pct"),
+        F.count_if(F.col("impurity_pct") < 0).alias("negative"),
+        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("names"),
+    )
+
+
 def q_permutation_importance(spark, sf_dir):
     table, names, model = fitted(spark, sf_dir)
-    return training.permutation_importance(model, table, names, SPLIT.validate, SMALL_FOREST)
+    score = training.forest_scorer(model)
+    return training.permutation_importance(score, table, names, SPLIT.validate, FOREST)
+
+
+def q_importance_table(spark, sf_dir):
+    """Both importances of the fitted forest in one table."""
+    table, names, model = fitted(spark, sf_dir)
+    score = training.forest_scorer(model)
+    moved = training.permutation_importance(score, table, names, SPLIT.validate, FOREST)
+    return training.importance_table(training.impurity_importance(model, names), moved)
 
 
 QUERIES: dict[str, Query] = {
     "clean_bars": q_clean_bars,
     "raw_files": q_raw_files,
+    "rejected_files": q_rejected_files,
+    "bars_round_trip": q_bars_round_trip,
+    "missing_year": q_missing_year,
+    "feat_ema_since": q_feat_ema_since,
     "clean_summary": q_clean_summary,
     "rejected_rows": q_rejected_rows,
     "label_triple_barrier": q_label_triple_barrier,
@@ -607,6 +697,10 @@ QUERIES: dict[str, Query] = {
     "accuracy": q_accuracy,
     "classification_report": q_classification_report,
     "importance_filter": q_importance_filter,
+    "permutation_by_rule": q_permutation_by_rule,
+    "forest_checks": q_forest_checks,
+    "impurity_checks": q_impurity_checks,
+    "importance_table": q_importance_table,
     "forest_predictions": q_forest_predictions,
     "impurity_importance": q_impurity_importance,
     "permutation_importance": q_permutation_importance,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -15,6 +17,9 @@ from barloom.config import Forest, Split
 from barloom.operators.filters import purged_train_split, require_rows, year_slice
 from barloom.operators.scores import CLASSES, balanced_weights, percent
 from barloom.operators.series import numbered
+from barloom.session import stored
+
+RANGE_ROWS = 65_536
 
 # Tells the learner that there are three classes even where one does not occur in training.
 LABEL_METADATA = {
@@ -81,68 +86,94 @@ def impurity_importance(model: PipelineModel, features: Sequence[str]) -> DataFr
     )
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def forest_scorer(model: PipelineModel) -> Scorer:
+    """Adds ``prediction`` (class index) to rows with an array of feature ``values``."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        return forest_of(model).transform(rows.withColumn("features", array_to_vector("values")))
+
+    return score
+
+
+def numbered_rows(table: DataFrame, features: Sequence[str], year: int) -> DataFrame:
+    """``row, label, values`` of a year, numbered from 0 in the order of a hash of the keys.
+
+    Rows are ranked inside ranges of the hash, as many as keep a range at about ``RANGE_ROWS``
+    rows, and what lies before a range is the sum of the range counts.
+    """
+    rows = year_slice(table, [year]).select(
+        F.md5(F.concat_ws("|", "symbol", F.col("time").cast("string"))).alias("_hash"),
+        class_index(F.col("Target")).alias("label"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("values"),
+        F.lit(0).alias("_all"),
+    )
+    digits = 1
+    total = rows.count()
+    while 16**digits * RANGE_ROWS < total:
+        digits += 1
+    rows = rows.withColumn("_part", F.left("_hash", F.lit(digits)))
+    return numbered(rows, ["_all"], ["_part"], ["_hash"], "row").select("row", "label", "values")
+
+
+def bijection(total: int, *seeds: int) -> tuple[int, int]:
+    """``a, b`` such that r -> (a * r + b) mod total maps the rows onto themselves."""
+    state = 0
+    for seed in seeds:
+        state = (state * 1_000_003 + seed + 1) % 2_147_483_647
+    a = 1 + state % max(total, 1)
+    while math.gcd(a, total) != 1:
+        a += 1
+    return a, (state * 7_919 + 104_729) % max(total, 1)
+
+
 def permutation_importance(
-    model: PipelineModel,
+    score: Scorer,
     table: DataFrame,
     features: Sequence[str],
     year: int,
     forest: Forest = Forest(),
-    parts: int = 1_024,
 ) -> DataFrame:
     """Mean and deviation of the loss in accuracy when one feature is shuffled.
 
-    A shuffle sends the value of row n to the row whose number is the rank of a hash of n. Rows
-    and ranks are numbered inside ``parts`` hash ranges plus the range counts, so a shuffle of the
-    whole year is never sorted by one task. All shuffles of all features run as one job.
+    Rows are numbered once, in hash order. A shuffle sends the value of row r to row (a r + b) mod
+    n with a coprime to n, which no sort is needed for, and only (row, value) moves: the values of
+    all repeats of a feature meet their rows in one join. An empty year gives no rows.
     """
     names = list(features)
-    rows = year_slice(table, [year]).select(
-        F.xxhash64("symbol", "time").alias("_hash"),
-        "symbol",
-        "time",
-        class_index(F.col("Target")).alias("label"),
-        F.array(*[F.col(f).cast("double") for f in names]).alias("values"),
-        F.lit(0).alias("_all"),
-    )
-    rows = numbered(
-        rows.withColumn("_part", hash_range(F.col("_hash"), parts)),
-        ["_all"],
-        ["_part"],
-        ["_hash", "symbol", "time"],
-        "row",
-    ).select("row", "label", "values")
-
-    repeats = F.explode(F.sequence(F.lit(1), F.lit(forest.repeats))).alias("repeat")
-    values = rows.select("row", F.posexplode("values").alias("place", "value"))
-    sent = values.select("*", repeats).withColumn(
-        "_hash", F.xxhash64("row", "place", "repeat", F.lit(forest.seed))
-    )
-    sent = numbered(
-        sent.withColumn("_part", hash_range(F.col("_hash"), parts)),
-        ["place", "repeat"],
-        ["_part"],
-        ["_hash", "row"],
-        "to",
-    ).select(F.col("to").alias("row"), "place", "repeat", "value")
-    shuffled = rows.join(sent, "row").select(
-        "label",
-        "place",
-        "repeat",
-        F.transform(
-            "values", lambda x, n: F.when(n == F.col("place"), F.col("value")).otherwise(x)
-        ).alias("values"),
-    )
-    # The untouched rows run along as place -1.
-    plain = rows.select("label", F.lit(-1).alias("place"), F.lit(0).alias("repeat"), "values")
-    vectors = shuffled.unionByName(plain).withColumn("features", array_to_vector("values"))
-    scores = (
-        forest_of(model)
-        .transform(vectors)
-        .groupBy("place", "repeat")
-        .agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-        .groupBy("place")
-        .agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd"))
-    )
+    rows = stored(numbered_rows(table, names, year))
+    total = rows.count()
+    if total == 0:
+        return table.sparkSession.createDataFrame(
+            [], "feature string, permutation_mean double, permutation_std double"
+        )
+
+    def accuracy_of(scored: DataFrame, place: int) -> DataFrame:
+        right = (F.col("prediction") == F.col("label")).cast("double")
+        by_repeat = scored.groupBy("repeat").agg(F.avg(right).alias("accuracy"))
+        return by_repeat.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("sd")).select(
+            F.lit(place).alias("place"), "mean", "sd"
+        )
+
+    # The untouched rows are place -1.
+    scores = accuracy_of(score(rows.withColumn("repeat", F.lit(0))), -1)
+    for place in range(len(names)):
+        maps = [bijection(total, forest.seed, place, r) for r in range(forest.repeats)]
+        moves = F.array(
+            *[
+                F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("decimal(38,0)").alias("a"), F.lit(b).alias("b"))
+                for r, (a, b) in enumerate(maps)
+            ]
+        )
+        sent = rows.select("row", F.col("values")[place].alias("value"), F.inline(moves))
+        to = F.expr(f"cast((a * row + b) % {total} as bigint)")
+        sent = sent.select(to.alias("row"), "repeat", "value")
+        kept = F.slice("values", place + 2, len(names))
+        changed = F.concat(F.slice("values", 1, place), F.array("value"), kept)
+        shuffled = rows.join(sent, "row").select("label", "repeat", changed.alias("values"))
+        scores = scores.unionByName(accuracy_of(score(shuffled), place))
     # One list with an entry per feature.
     whole = scores.agg(F.collect_list(F.struct("place", "mean", "sd")).alias("_s"))
     base = F.filter("_s", lambda s: s["place"] == -1)[0]["mean"]
@@ -158,6 +189,8 @@ def permutation_importance(
     )
 
 
-def hash_range(value: Column, parts: int) -> Column:
-    """Number of the range that holds a 64-bit hash; ranges are in hash order."""
-    return F.shiftright(value, 64 - (parts.bit_length() - 1))
+def importance_table(impurity: DataFrame, permutation: DataFrame) -> DataFrame:
+    """Both importances side by side; impurity alone where the validation year is empty."""
+    return impurity.join(permutation, "feature", "left").orderBy(
+        F.col("permutation_mean").desc_nulls_last(), F.col("impurity_pct").desc()
+    )

@@ -1,3 +1,5 @@
+import math
+
 from datetime import datetime, timedelta
 
 import pytest
@@ -17,7 +19,11 @@ from barloom.operators.scores import (
     prediction_table,
 )
 from barloom.plans.training import (
+    bijection,
+    forest_scorer,
+    importance_table,
     impurity_importance,
+    numbered_rows,
     permutation_importance,
     predict_proba,
     train_forest,
@@ -75,9 +81,51 @@ def test_importances_find_the_informative_feature(fitted):
     data, names, model = fitted
     impurity = {r.feature: r.impurity_pct for r in impurity_importance(model, names).collect()}
     assert impurity["good"] > impurity["noise"] and abs(sum(impurity.values()) - 100) < 0.05
-    rows = permutation_importance(model, data, names, 2022, FOREST, parts=16).collect()
+    rows = permutation_importance(forest_scorer(model), data, names, 2022, FOREST).collect()
     assert [r.feature for r in rows] == ["good", "noise"]
     assert rows[0].permutation_mean > 0.3 > abs(rows[1].permutation_mean) + 0.2
+    both = importance_table(impurity_importance(model, names), permutation_importance(forest_scorer(model), data, names, 2022, FOREST))
+    assert [(r.feature, r.impurity_pct) for r in both.collect()] == [(f, impurity[f]) for f in ("good", "noise")]
+
+
+def test_importances_without_a_validation_year(fitted):
+    data, names, model = fitted
+    none = permutation_importance(forest_scorer(model), data, names, 2035, FOREST)
+    both = importance_table(impurity_importance(model, names), none).collect()
+    assert [r.feature for r in both] == ["good", "noise"]
+    assert all(r.permutation_mean is None and r.impurity_pct > 0 for r in both)
+
+
+def test_a_shuffle_moves_every_value_once():
+    for total in (1, 2, 12, 1460, 99991):
+        for repeat in range(5):
+            a, b = bijection(total, 42, 1, repeat)
+            assert len({(a * r + b) % total for r in range(min(total, 5000))}) == min(total, 5000)
+            assert math.gcd(a, total) == 1
+
+
+def test_a_shuffle_by_rule_matches_a_loop(spark):
+    data = table(spark)
+    names = ["good", "noise"]
+
+    def rule(rows):
+        return rows.withColumn("prediction", F.when(F.col("values")[0] > 0, 2.0).otherwise(0.0))
+
+    rows = [(r.row, r.label, r["values"]) for r in numbered_rows(data, names, 2022).collect()]
+    n, by_row = len(rows), {r: (y, v) for r, y, v in rows}
+    assert sorted(by_row) == list(range(n))
+    want = {}
+    for place, name in enumerate(names):
+        scores = []
+        for repeat in range(FOREST.repeats):
+            a, b = bijection(n, FOREST.seed, place, repeat)
+            moved = {(a * r + b) % n: v[place] for r, (_, v) in by_row.items()}
+            first = [moved[r] if place == 0 else by_row[r][1][0] for r in range(n)]
+            scores.append(sum((2.0 if x > 0 else 0.0) == by_row[r][0] for r, x in enumerate(first)) / n)
+        base = sum((2.0 if v[0] > 0 else 0.0) == y for y, v in by_row.values()) / n
+        want[name] = round(base - sum(scores) / len(scores), 5)
+    found = {r.feature: r.permutation_mean for r in permutation_importance(rule, data, names, 2022, FOREST).collect()}
+    assert found == pytest.approx(want, abs=1e-5)
 
 
 def test_a_class_missing_in_training_has_probability_zero(spark):
