@@ -80,7 +80,7 @@ def id_or_null(column: str | Column) -> Column:
 
 
 def text_chunks(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, so that arrays over the
     words of a slice stay small whatever the length of the documents."""
@@ -126,7 +126,7 @@ def key_or_null(key: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    BOUND = 1 << 18
+    BOUND = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import stored
 
+PER_FILE = 1_000_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links ``a, b``; a component's name is its
     smallest node.
 
     Each round every node hooks to its smallest neighbour, twice over, links move to the hooks,
-    and links inside one hook go. Nothing is collected but whether links are left.
+    and links inside one hook go. Nothing is collected but how many links are left, and tables are
+    written in as many files as that asks for (``PER_FILE`` links each).
     """
     a, b = F.col("a"), F.col("b")
     links = stored(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    found = None
-    while found is None or not links.isEmpty():
+    found, left = None, links.count()
+    files = 1 + left // PER_FILE
+    while found is None or left:
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         hooks = both.groupBy("a").agg(F.least(a, F.min("b")).alias("hook"))
-        hooks = stored(hooks.withColumnRenamed("a", "node"))
+        hooks = stored(hooks.withColumnRenamed("a", "node").coalesce(files))
         second = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
-        hooks = stored(hooks.join(second, "hook").select("node", F.col("top").alias("hook")))
+        hooks = hooks.join(second, "hook").select("node", F.col("top").alias("hook"))
+        hooks = stored(hooks.coalesce(files))
         moved = links
         for end in ("a", "b"):
             moved = moved.join(hooks.select(F.col("node").alias(end), F.col("hook").alias(f"to_{end}")), end)
@@ -31,12 +36,14 @@ def components(links: DataFrame) -> DataFrame:
             moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
             .where("a < b")
             .distinct()
+            .coalesce(files)
         )
+        left = links.count()
         if found is None:
             found = hooks.select("node", F.col("hook").alias("component"))
         else:
             step = hooks.select(F.col("node").alias("component"), "hook")
             found = found.join(step, "component", "left")
             found = found.select("node", F.coalesce("hook", "component").alias("component"))
-        found = stored(found)
+        found = stored(found.coalesce(files))
     return found

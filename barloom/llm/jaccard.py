@@ -183,28 +183,32 @@ def set_rows(docs: DataFrame, classes: DataFrame, rule: JaccardRule) -> DataFram
 
 
 def candidate_classes(signed: DataFrame, rule: JaccardRule) -> tuple[DataFrame, DataFrame]:
-    """The classes that may have a partner (``doc, body, n, bits``), and a row for every shingle
-    in their shorter beginning that another class has in its own (``tile, class, n``)."""
-    names = signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "body")).alias("rep"))
-    names = names.select("rep.doc", "rep.body").distinct()
-    classes = stored(signed.join(names, ["doc", "body"], "left_semi").dropDuplicates(["doc", "body"]))
+    """The classes that may have a partner (``class``, with the ``doc, body`` that stands for it),
+    and a row for every shingle in their shorter beginning that another class has in its own
+    (``tile, class, n``).
+
+    Until shingles that one class alone has are gone, classes go by a hash of their set. Copies
+    then fall together in the aggregation before the shuffle.
+    """
+    signed = signed.where("n > 0")
     least = F.ceil(F.lit(rule.percent) * F.col("n") / 100)
     short = (F.col("n") - least + 1).cast("int")
-    rows = classes.select(
-        F.col("doc").alias("class"), "n", F.posexplode("start").alias("place", "tile"), short.alias("short")
-    )
-    shared = rows.groupBy("tile").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    shared = shared.where("low < high").select("tile", "low")
-    rows = stored(rows.join(shared, "tile").select("tile", "class", "n", F.col("place") < F.col("short")))
-    rows = rows.toDF("tile", "class", "n", "early")
+    rows = signed.select("h1", F.posexplode("start").alias("place", "tile"), short.alias("short"))
+    rows = rows.select("tile", "h1", (F.col("place") < F.col("short")).alias("early"))
+    shared = rows.groupBy("tile").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+    shared = shared.where("low < high").select("tile")
+    rows = stored(rows.join(shared, "tile").distinct())
     # The smallest partner has percent * n shingles; its beginning is made for this many.
     partner = F.ceil(F.lit(rule.percent) * F.col("n") / 100)
     need = 1 + F.floor(partner * (100 - rule.percent) / 200)
     need = F.least(need, F.ceil(F.lit(rule.percent) * partner / 100))
-    counts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-    able = counts.where(F.col("shared") >= need).select("class")
-    rows = rows.where("early").drop("early").join(able, "class", "left_semi")
-    return classes.drop("start", "h1", "h2"), stored(rows)
+    counts = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("shared"))
+    stands = F.min(F.struct("doc", "body")).alias("rep")
+    able = signed.groupBy("h1", "h2").agg(stands, F.first("n").alias("n"))
+    able = able.join(counts, "h1").where(F.col("shared") >= need)
+    able = stored(able.select("h1", "n", F.col("rep.doc").alias("class"), "rep.doc", "rep.body"))
+    rows = rows.where("early").drop("early").join(able.select("h1", "class", "n"), "h1").drop("h1")
+    return able.select("class", "doc", "body").distinct(), stored(rows)
 
 
 def first_tries(rows: DataFrame) -> DataFrame:
@@ -342,8 +346,7 @@ def near_components(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataF
     """
     signed = stored(signatures(docs, rule))
     classes, rows = candidate_classes(signed, rule)
-    able = rows.select(F.col("class").alias("doc")).distinct()
-    sets = stored(set_rows(docs, classes.join(able, "doc").select("doc", "body"), rule).dropDuplicates())
+    sets = stored(set_rows(docs, classes.select("doc", "body"), rule).dropDuplicates())
     links = stored(confirmed(first_tries(rows), sets, rule))
     labels = components(links).toDF("class", "label")
     pairs = stored(tile_pairs(tiles(rows, labels, sets, rule), rule))

@@ -4,7 +4,9 @@ A window is a run of consecutive words of one document. The first level tests wi
 length, one per neighbourhood: of every ``length / 2 + 1`` windows in a row the one with the
 smallest hash. Copies of a long window hold the same words, so they choose the same. Only around
 chosen windows that a document with another id repeats are windows of twice the length formed, and
-those of them that repeat are what is looked for. With more levels the first window is shorter.
+those of them that repeat are extended to twice that length, and so on until no candidates survive
+(``repeat_levels``). What is covered by longer windows is covered by those of the given length, so
+dedup stops there.
 
 Documents of one word sequence are one document here, the one with the smallest id; all windows
 of the others start in it. Hashes of the last level have 128 bits.
@@ -193,16 +195,52 @@ def candidate_windows(texts: DataFrame, rule: WindowRule) -> DataFrame:
     return texts.mapInArrow(formed, WINDOWS)
 
 
-def later_windows(docs: DataFrame, signed: DataFrame, rule: WindowRule) -> DataFrame:
-    """``doc, body, starts``: places of the windows whose words start in a smaller document too."""
+def window_table(docs: DataFrame, signed: DataFrame, rule: WindowRule) -> DataFrame:
+    """Candidate windows of the full length of the documents that stand for a word sequence."""
     names = signed.where(F.col("n_words") >= rule.length).groupBy("w1", "w2")
     names = names.agg(F.min(F.struct("doc", "body")).alias("rep"))
     names = names.select("rep.doc", "rep.body").distinct()
     signed = signed.select("doc", "body", "marks").join(names, ["doc", "body"], "left_semi")
     found = stored(repeated_marks(stored(signed.dropDuplicates(["doc", "body"]))))
     rows = docs.select(document_key().alias("doc"), F.xxhash64("text").alias("body"), "text")
-    rows = rows.join(found, ["doc", "body"])
-    windows = stored(candidate_windows(rows, rule))
+    return stored(candidate_windows(rows.join(found, ["doc", "body"]), rule))
+
+
+def repeat_levels(docs: DataFrame, rule: WindowRule = WindowRule()) -> DataFrame:
+    """``doc, body, start, length``: all windows of ``length``, 2 * ``length``, … words that start in
+    documents of different ids, up to the longest such window.
+
+    A window of the next level is made of two of this one, end to end, both repeated; its hashes
+    are made of theirs. Word sequences that are wholly alike are represented by one document.
+    """
+    windows, length, out = window_table(docs, stored(marks(docs, rule)), rule), rule.length, None
+    while True:
+        shared = stored(shared_by_documents(windows, ["h1", "h2"]).drop("low"))
+        found = stored(windows.join(shared, ["h1", "h2"]).distinct())
+        level = found.select("doc", "body", "start", F.lit(length).alias("length"))
+        out = level if out is None else out.unionByName(level)
+        if found.isEmpty():
+            return out
+        rest = found.select(
+            "doc",
+            "body",
+            (F.col("start") - length).cast("int").alias("start"),
+            F.col("h1").alias("next1"),
+            F.col("h2").alias("next2"),
+        )
+        windows = found.join(rest, ["doc", "body", "start"]).select(
+            "doc",
+            "body",
+            "start",
+            F.xxhash64("h1", "next1").alias("h1"),
+            F.xxhash64(F.lit(length), "h2", "next2").alias("h2"),
+        )
+        windows, length = stored(windows), 2 * length
+
+
+def later_windows(docs: DataFrame, signed: DataFrame, rule: WindowRule) -> DataFrame:
+    """``doc, body, starts``: places of the windows whose words start in a smaller document too."""
+    windows = window_table(docs, signed, rule)
     # Written, so that the join reads two plain tables and Spark can split a frequent window's task.
     low = stored(shared_by_documents(windows, ["h1", "h2"]))
     later = windows.join(low, ["h1", "h2"]).where("low < doc")

@@ -42,3 +42,24 @@ def test_odd_rows(odd_docs, no_docs):
 def test_repeats_within_a_document_stay(spark):
     table = spark.createDataFrame([(1, "a b " * 200), (2, "c " * 100)], "doc_id long, text string")
     assert [r.n_removed for r in substrings.window_digests(table).collect()] == [0, 0]
+
+
+def test_levels_double_until_no_window_repeats(spark):
+    docs = list(enumerate(overlapping(3, n=40)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {(r.doc, r.start, r.length) for r in substrings.repeat_levels(table, substrings.WindowRule(10)).collect()}
+    first = {}
+    for d, t in docs:  # copies of a word sequence are one document
+        first.setdefault(tuple(t.split()), d)
+    want, length = set(), 10
+    while True:
+        holders = {}
+        for ws, d in first.items():
+            for i in range(len(ws) - length + 1):
+                holders.setdefault(ws[i : i + length], set()).add((d, i))
+        level = {(d, i, length) for at in holders.values() if len({d for d, _ in at}) > 1 for d, i in at}
+        if not level:
+            break
+        want, length = want | level, 2 * length
+    assert length >= 40 and found == want
+    assert substrings.repeat_levels(table.limit(0)).count() == 0
