@@ -54,11 +54,13 @@ SETS = "class long, n int, bits binary, members binary"
 @dataclass(frozen=True)
 class JaccardRule:
     """``words`` to a shingle; sets link when 100 * intersection >= ``percent`` * union.
-    ``block``: classes of a tile's side."""
+    ``block``: classes of a tile's side. ``first_tiles`` of a class go along with it, so that a
+    pair is tried in one tile and not in all that it shares."""
 
     words: int = 5
     percent: int = 80
     block: int = 256
+    first_tiles: int = 4
 
     def least_overlap(self, n: np.ndarray) -> np.ndarray:
         """Shingles that a set of n shares with any partner, at least."""
@@ -99,10 +101,10 @@ def shingle_sets(texts: list[str], words: int, known: WordHashes) -> tuple[np.nd
 
 
 def bitmaps(members: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per set: a power of two of bits, at least half as many as the set has members and
-    64. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
+    """A bitmap per set: a power of two of bits, as many as the set has members or more, 256 at
+    least. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
     owner, _ = sequence(sizes)
-    widths = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 7)
+    widths = 256 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 8)
     starts = np.cumsum(widths) - widths
     place = (scrambled(members ^ SALTS[2]) & (widths[owner] - 1).astype(np.uint64)).astype(np.int64)
     flips = np.bincount(starts[owner] + place, minlength=int(widths.sum())) & 1
@@ -250,7 +252,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
 
 
 def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Rows of the tiles that are left: both sides of each, with size, label and bitmap."""
+    """Rows of the tiles that are left: both sides of each, with size, label, bitmap, and the first
+    tiles that the class is in."""
+    early = rows
     rows = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     rows = stored(rows)
     open_groups = rows.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -271,12 +275,19 @@ def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule
     upper = rows.withColumnRenamed("block", "i").join(meet, ["tile", "i"]).withColumn("side", F.lit(0))
     lower = rows.withColumnRenamed("block", "j").join(meet.where("i < j"), ["tile", "j"])
     both = upper.unionByName(lower.withColumn("side", F.lit(1)))
-    bits = sets.select("class", "bits")
-    return both.join(bits, "class").select("tile", "i", "j", "side", "class", "n", "label", "bits")
+    lists = early.groupBy("class").agg(F.sort_array(F.collect_list("tile")).alias("all"))
+    carried = sets.select("class", "bits").join(lists, "class")
+    carried = carried.select("class", "bits", F.slice("all", 1, rule.first_tiles).alias("first"))
+    return both.join(carried, "class").select(
+        "tile", "i", "j", "side", "class", "n", "label", "bits", "first"
+    )
 
 
 def tile_pairs(rows: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Pairs of different labels in each tile whose bitmaps leave the threshold within reach."""
+    """Pairs of different labels in each tile whose bitmaps leave the threshold within reach.
+
+    A pair that meets in one of the first tiles of both is left to the first such tile.
+    """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in whole_groups(batches, ["tile", "i", "j"]):
@@ -292,10 +303,17 @@ def tile_pairs(rows: DataFrame, rule: JaccardRule) -> DataFrame:
                 w: np.array([folded(bits[y], w) for y in second[widths[second] >= w].tolist()])
                 for w in np.unique(widths[first]).tolist()
             }
+            here = tile.column("tile")[0].as_py()
+            started = np.full((len(ids), rule.first_tiles), here, dtype=np.int64)
+            for row, tiles_of in enumerate(tile.column("first").to_pylist()):
+                started[row, : len(tiles_of)] = tiles_of
             out = []
             for x in first.tolist():
                 near = (labels[second] != labels[x]) & (rule.percent * sizes[second] <= 100 * sizes[x])
                 near &= (second > x) & (widths[second] >= widths[x])
+                before = started[x][started[x] < here]
+                if len(before):
+                    near &= ~np.isin(started[second], before).any(axis=1)
                 if not near.any():
                     continue
                 others = second[near]
