@@ -708,10 +708,12 @@ ORACLE: dict[str, str] = {
         "one_record",
     ),
     "yearly_summary": sql(
-        """SELECT symbol, year, CAST(sum(trades) AS BIGINT) AS trades,
-            CAST(sum(n_signals) AS BIGINT) AS n_signals, round(sum(profit_net), 4) AS profit_net,
-            round(min(dd), 4) AS worst_dd
-        FROM one_record GROUP BY ROLLUP (symbol, year)""",
+        f"""SELECT symbol, year, trades, n_signals, {r(4, *RECORD)},
+            round({EXPECTANCY}, 4) AS expectancy, round({RATIO}, 4) AS signal_ratio FROM one_record
+        UNION ALL BY NAME
+        SELECT symbol, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(n_signals) AS BIGINT) AS n_signals,
+            round(sum(profit_net), 4) AS profit_net, round(min(dd), 4) AS dd
+        FROM one_record GROUP BY ROLLUP (symbol)""",
         "one_record",
     ),
     "performance_report": sql(

@@ -246,10 +246,17 @@ def with_ratios(metrics: DataFrame) -> DataFrame:
 
 
 def yearly_summary(metrics: DataFrame) -> DataFrame:
-    """Per symbol one row per year, and one with the year left empty that holds the total."""
+    """Every metric per symbol and year, and totals: one row per symbol with the year left empty, and
+    one row with both left empty over all symbols.
+
+    Trades, signals and profit are summed, the drawdown is the worst of the years; ratios of years
+    do not add up and are empty in the totals.
+    """
+    whole = ("trades", "n_signals", "profit_net")
+    ratios = [c for c in metrics.columns if c not in ("symbol", "year", "dd", *whole)]
+    of_year = F.grouping("year") == 0
     return metrics.rollup("symbol", "year").agg(
-        F.sum("trades").alias("trades"),
-        F.sum("n_signals").alias("n_signals"),
-        F.sum("profit_net").alias("profit_net"),
-        F.min("dd").alias("worst_dd"),
+        *[F.sum(c).alias(c) for c in whole],
+        F.min("dd").alias("dd"),
+        *[F.when(of_year, F.max(c)).alias(c) for c in ratios],
     )
