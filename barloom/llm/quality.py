@@ -116,7 +116,6 @@ def characters(text: str) -> tuple[int, int, int]:
 
 def measures(docs: DataFrame, rule: EmRule) -> DataFrame:
     """``doc_id`` and the measures of each row's whole text."""
-    schema = docs.select("doc_id").schema.add("key", "string")
     names = ["doc_id", *MEASURES]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +142,7 @@ def measures(docs: DataFrame, rule: EmRule) -> DataFrame:
             arrays = [pa.array(np.asarray(c, dtype=np.int64)) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    kind = schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
     )
