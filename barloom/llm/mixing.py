@@ -85,21 +85,23 @@ def mixed(rows: DataFrame, mixture: Mixture = Mixture(), id_column: str = "doc_i
     """
     id_text = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
     key = F.md5(F.concat(F.lit(mixture.seed + ":"), id_text))
-    keyed = rows.withColumns({"__key": key, "__bucket": F.left(key, F.lit(mixture.bucket_digits))})
-    buckets = keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size"))
+    # One name for source and bucket, null source included: rows are shuffled by it once, for the
+    # join with what lies before the bucket and for the running sum inside it.
+    bucket = F.left(key, F.lit(mixture.bucket_digits))
+    place = F.concat(bucket, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    keyed = rows.withColumns({"__key": key, "__place": place})
+    buckets = keyed.groupBy("__place", "source").agg(F.sum("size").alias("bucket_size"))
     buckets = stored(buckets)
     targets = stored(source_targets(buckets.withColumnRenamed("bucket_size", "size"), mixture))
-    order = Window.partitionBy("source").orderBy("__bucket")
+    order = Window.partitionBy("source").orderBy("__place")
     ahead = F.coalesce(
         F.sum("bucket_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = buckets.select("source", "__bucket", ahead.alias("__ahead"))
-    offsets = offsets.withColumnRenamed("source", "__s").join(
-        targets.withColumnRenamed("source", "__t"), F.expr("__s <=> __t")
-    )
-    offsets = offsets.drop("__t").withColumnRenamed("__bucket", "__b")
-    joined = keyed.join(offsets, F.expr("__b = __bucket and __s <=> source")).drop("__b", "__s")
-    inside = Window.partitionBy("source", "__bucket").orderBy("__key", "size")
+    offsets = buckets.select("__place", F.col("source").alias("__s"), ahead.alias("__ahead"))
+    targets = targets.withColumnRenamed("source", "__t")
+    offsets = offsets.join(targets, F.expr("__s <=> __t")).drop("__s", "__t")
+    joined = keyed.join(offsets, "__place")
+    inside = Window.partitionBy("__place").orderBy("__key", "size")
     prior = F.coalesce(
         F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
