@@ -368,7 +368,8 @@ def near_components(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataF
     links = stored(confirmed(first_tries(rows), sets, rule))
     labels = components(links).toDF("class", "label")
     pairs = stored(tile_pairs(tiles(rows, labels, sets, rule), rule))
-    names = signed.groupBy("h1", "h2").agg(F.min("doc").alias("class"))
+    # Written, so that the join reads two plain tables and Spark can split the task of many copies.
+    names = stored(signed.groupBy("h1", "h2").agg(F.min("doc").alias("class")))
     found = stored(signed.drop("bits", "start").join(names, ["h1", "h2"]).drop("h1", "h2"))
     held = found.where("n > 0").groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b"))
     held = found.join(held.where("a < b").select("doc", "a"), "doc").select("a", F.col("class").alias("b"))

@@ -269,7 +269,7 @@ def dedup_windows(docs: DataFrame, rule: WindowRule = WindowRule()) -> DataFrame
     length = rule.length
     signed = stored(marks(docs, rule))
     starts = later_windows(docs, signed, rule)
-    first = signed.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
+    first = stored(signed.groupBy("w1", "w2").agg(F.min("doc").alias("first")))
     rows = signed.drop("marks").join(first, ["w1", "w2"]).drop("w1", "w2")
     # All windows of a copy start in the first document of its word sequence.
     copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= length)
