@@ -180,8 +180,10 @@ def set_rows(docs: DataFrame, classes: DataFrame, rule: JaccardRule) -> DataFram
                 ["class", "n", "bits", "members"],
             )
 
-    texts = keyed(docs).join(classes, ["doc", "body"]).select(F.col("doc").alias("class"), "text")
-    return texts.mapInArrow(listed, SETS)
+    # Sorted and merged at every size: repeated rows then lie side by side and are dropped before
+    # their sets are made.
+    texts = keyed(docs).join(classes.hint("merge"), ["doc", "body"]).dropDuplicates(["doc", "body"])
+    return texts.select(F.col("doc").alias("class"), "text").mapInArrow(listed, SETS)
 
 
 def candidate_classes(signed: DataFrame, rule: JaccardRule) -> tuple[DataFrame, DataFrame]:
@@ -204,19 +206,20 @@ def candidate_classes(signed: DataFrame, rule: JaccardRule) -> tuple[DataFrame,
     partner = F.ceil(F.lit(rule.percent) * F.col("n") / 100)
     need = 1 + F.floor(partner * (100 - rule.percent) / 200)
     need = F.least(need, F.ceil(F.lit(rule.percent) * partner / 100))
-    counts = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("shared"))
     stands = F.min(F.struct("doc", "body")).alias("rep")
-    able = signed.groupBy("h1", "h2").agg(stands, F.first("n").alias("n"))
-    able = able.join(counts, "h1").where(F.col("shared") >= need)
-    able = stored(able.select("h1", "n", F.col("rep.doc").alias("class"), "rep.doc", "rep.body"))
-    rows = rows.where("early").drop("early").join(able.select("h1", "class", "n"), "h1").drop("h1")
-    return able.select("class", "doc", "body").distinct(), stored(rows)
+    names = signed.groupBy("h1", "h2").agg(stands, F.first("n").alias("n"))
+    names = names.select("h1", "h2", "n", "rep.doc", "rep.body")
+    held = rows.join(names.hint("merge"), "h1")
+    held = held.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")))
+    held = stored(held.where(F.col("held") >= need).select("tile", "early", "n", "doc", "body"))
+    rows = held.where("early").select("tile", F.col("doc").alias("class"), "n")
+    return held.select(F.col("doc").alias("class"), "doc", "body").distinct(), stored(rows.distinct())
 
 
 def first_tries(rows: DataFrame) -> DataFrame:
     """One pair per class: with the smallest class of the tile group it shares most tiles with."""
-    lows = rows.groupBy("tile").agg(F.min("class").alias("low"))
-    pairs = rows.join(lows, "tile").where("low < class").groupBy("class", "low").count()
+    low = F.min("class").over(Window.partitionBy("tile"))
+    pairs = rows.withColumn("low", low).where("low < class").groupBy("class", "low").count()
     best = F.max(F.struct("count", (-F.col("low")).alias("less"))).alias("best")
     return pairs.groupBy("class").agg(best).select((-F.col("best.less")).alias("a"), F.col("class").alias("b"))
 
@@ -225,6 +228,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
     """The pairs ``a, b`` whose sets reach the threshold: first by bitmap, then by intersection."""
 
     def side(end: str, *columns: str) -> DataFrame:
+        """The columns of ``sets``, as it is at the time, for one end of the pairs."""
         return sets.select(F.col("class").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +251,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
     near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long")
     near = stored(near)
+    ids = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class")))
+    # Whole sets travel only for classes that are in a pair still.
+    sets = stored(sets.select("class", "members").join(ids.distinct(), "class"))
     whole = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
     return whole.select("a", "b", "members_a", "members_b").mapInArrow(intersected, "a long, b long")
 
@@ -256,15 +263,14 @@ def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule
     tiles that the class is in."""
     early = rows
     rows = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rows = stored(rows)
-    open_groups = rows.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = rows.join(open_groups.where("low < high").select("tile"), "tile")
     by_size = Window.partitionBy("tile").orderBy("n", "class")
     cut = F.floor((F.row_number().over(by_size) - 1) / rule.block).cast("int")
     smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
     reach = (smaller * 100 >= F.col("n") * rule.percent) | (F.col("n") * 100 >= larger * rule.percent)
-    rows = rows.withColumns({"block": cut, "reach": reach}).where("reach").drop("reach")
-    rows = stored(rows)
+    labels_of = Window.partitionBy("tile")
+    mixed = F.min("label").over(labels_of) < F.max("label").over(labels_of)
+    rows = rows.withColumns({"mixed": mixed, "block": cut, "reach": reach})
+    rows = stored(rows.where("mixed and reach").drop("mixed", "reach"))
     blocks = rows.groupBy("tile", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = blocks.select("tile", F.col("block").alias("i"), "most")
     right = blocks.select("tile", F.col("block").alias("j"), "least")
@@ -364,7 +370,7 @@ def near_components(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataF
     """
     signed = stored(signatures(docs, rule))
     classes, rows = candidate_classes(signed, rule)
-    sets = stored(set_rows(docs, classes.select("doc", "body"), rule).dropDuplicates())
+    sets = stored(set_rows(docs, classes.select("doc", "body"), rule))
     links = stored(confirmed(first_tries(rows), sets, rule))
     labels = components(links).toDF("class", "label")
     pairs = stored(tile_pairs(tiles(rows, labels, sets, rule), rule))
