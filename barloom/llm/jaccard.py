@@ -60,7 +60,7 @@ class JaccardRule:
     words: int = 5
     percent: int = 80
     block: int = 256
-    first_tiles: int = 4
+    first_tiles: int = 2
 
     def least_overlap(self, n: np.ndarray) -> np.ndarray:
         """Shingles that a set of n shares with any partner, at least."""
@@ -100,11 +100,12 @@ def shingle_sets(texts: list[str], words: int, known: WordHashes) -> tuple[np.nd
     return found[new], np.bincount(owners[new], minlength=len(texts))
 
 
-def bitmaps(members: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per set: a power of two of bits, as many as the set has members or more, 256 at
-    least. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
+def bitmaps(members: np.ndarray, sizes: np.ndarray, percent: int = 80) -> list[bytes]:
+    """A bitmap per set: a power of two of bits, 256 at least, and as many as the set has members or
+    more where a fifth of them may differ (in proportion for other thresholds). A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
     owner, _ = sequence(sizes)
-    widths = 256 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 8)
+    wanted = np.maximum(sizes * (100 - percent) // 20, 1)
+    widths = 256 << np.maximum(0, np.ceil(np.log2(wanted)).astype(np.int64) - 8)
     starts = np.cumsum(widths) - widths
     place = (scrambled(members ^ SALTS[2]) & (widths[owner] - 1).astype(np.uint64)).astype(np.int64)
     flips = np.bincount(starts[owner] + place, minlength=int(widths.sum())) & 1
@@ -148,7 +149,7 @@ def signatures(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                     pa.array(sizes.astype(np.int32)),
                     pa.array(sums[0]),
                     pa.array(sums[1]),
-                    pa.array(bitmaps(members, sizes), pa.binary()),
+                    pa.array(bitmaps(members, sizes, rule.percent), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(begin)),
                 ],
                 ["doc", "body", "n", "h1", "h2", "bits", "start"],
@@ -174,7 +175,7 @@ def set_rows(docs: DataFrame, classes: DataFrame, rule: JaccardRule) -> DataFram
                 [
                     batch.column("class"),
                     pa.array(sizes.astype(np.int32)),
-                    pa.array(bitmaps(members, sizes), pa.binary()),
+                    pa.array(bitmaps(members, sizes, rule.percent), pa.binary()),
                     pa.array(parts, pa.binary()),
                 ],
                 ["class", "n", "bits", "members"],
