@@ -101,11 +101,12 @@ def shingle_sets(texts: list[str], words: int, known: WordHashes) -> tuple[np.nd
 
 
 def bitmaps(members: np.ndarray, sizes: np.ndarray, percent: int = 80) -> list[bytes]:
-    """A bitmap per set: a power of two of bits, 256 at least, and as many as the set has members or
-    more where a fifth of them may differ (in proportion for other thresholds). A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
+    """A bitmap per set: a power of two of bits. Where a fifth of the members may differ, 256 at least
+    and as many as the set has members or more; in proportion for other thresholds. A member flips the bit that its low digits name, so halving a bitmap is an XOR."""
     owner, _ = sequence(sizes)
     wanted = np.maximum(sizes * (100 - percent) // 20, 1)
-    widths = 256 << np.maximum(0, np.ceil(np.log2(wanted)).astype(np.int64) - 8)
+    least = max(6, (256 * (100 - percent) // 20 - 1).bit_length())
+    widths = 1 << np.maximum(least, np.ceil(np.log2(wanted)).astype(np.int64))
     starts = np.cumsum(widths) - widths
     place = (scrambled(members ^ SALTS[2]) & (widths[owner] - 1).astype(np.uint64)).astype(np.int64)
     flips = np.bincount(starts[owner] + place, minlength=int(widths.sum())) & 1
