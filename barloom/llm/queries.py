@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
+    alignment,
     bpe,
     fingerprints,
     jaccard,
@@ -81,6 +82,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, labels)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = alignment.Pair(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN,
+    )
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), pair)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
@@ -92,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE: dict[str, str] = SQL
