@@ -141,10 +141,34 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where place = 1
 """
 
+NEGATIVES = """
+with taken as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    list_dot_product(a.vec, b.vec)::bigint as score
+  from taken a join taken b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+), ranked as (
+  select p.anchor_id, p.positive_id, s.other_id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id and not s.same
+    and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_mixing": MIXING,
     "op6_line_dedup": LINES,
     "op8_jaccard_join": JACCARD,
     "op9_url_filter": URLS,
+    "op12_hard_negatives": NEGATIVES,
 }
