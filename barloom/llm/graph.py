@@ -10,13 +10,26 @@ from barloom.llm.common import stored
 PER_FILE = 1_000_000
 
 
+def rooted(hooks: DataFrame, files: int) -> DataFrame:
+    """``node, hook`` with every hook followed to its root. A node never hooks to a larger one, so
+    hooks make trees, and following them twice as far each time takes the logarithm of their depth."""
+    while True:
+        second = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
+        moved = (F.col("hook") != F.col("top")).alias("moved")
+        jumped = hooks.select("node", "hook").join(second, "hook").select("node", F.col("top").alias("hook"), moved)
+        hooks = stored(jumped.coalesce(files))
+        if not hooks.where("moved").limit(1).count():
+            return hooks.select("node", "hook")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links ``a, b``; a component's name is its
     smallest node.
 
-    Each round every node hooks to its smallest neighbour, twice over, links move to the hooks,
-    and links inside one hook go. Nothing is collected but how many links are left, and tables are
-    written in as many files as that asks for (``PER_FILE`` links each).
+    Each round every node hooks to its smallest neighbour, hooks are followed to their roots, links
+    move to the roots, and links inside one tree go; a chain of rising nodes is one tree. Nothing is
+    collected but how many links are left, and tables are written in as many files as that asks for
+    (``PER_FILE`` links each).
     """
     a, b = F.col("a"), F.col("b")
     links = stored(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
@@ -25,10 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     while found is None or left:
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         hooks = both.groupBy("a").agg(F.least(a, F.min("b")).alias("hook"))
-        hooks = stored(hooks.withColumnRenamed("a", "node").coalesce(files))
-        second = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
-        hooks = hooks.join(second, "hook").select("node", F.col("top").alias("hook"))
-        hooks = stored(hooks.coalesce(files))
+        hooks = rooted(stored(hooks.withColumnRenamed("a", "node").coalesce(files)), files)
         moved = links
         for end in ("a", "b"):
             moved = moved.join(hooks.select(F.col("node").alias(end), F.col("hook").alias(f"to_{end}")), end)

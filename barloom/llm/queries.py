@@ -17,6 +17,7 @@ from barloom.llm import (
     lines,
     mixing,
     negatives,
+    neighbours,
     quality,
     sharding,
     substrings,
@@ -99,6 +100,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_fingerprints": op2_fingerprints,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLE: dict[str, str] = SQL
