@@ -110,8 +110,8 @@ def indicator_ctes(prefix: str, bars: str) -> dict[str, tuple[str, tuple[str, ..
     }
 
 
-def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int):
-    """First bar of the next 24 at which each barrier is reached, and the label."""
+def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int, window: int = 24):
+    """First bar of the next ``window`` at which each barrier is reached, and the label."""
     return {
         f"{prefix}_hits": (
             f"""SELECT a.symbol, a.time, a.pos, a.close, count(b.pos) AS ahead,
@@ -120,12 +120,12 @@ def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int):
                 min(CASE WHEN b.low <= a.close - {tp} THEN b.pos END) AS dn_tp,
                 min(CASE WHEN b.high >= a.close + {sl} THEN b.pos END) AS dn_sl
             FROM {pos} a LEFT JOIN {pos} b ON a.symbol = b.symbol AND a.timeframe = b.timeframe
-                AND b.pos BETWEEN a.pos + 1 AND a.pos + 24
+                AND b.pos BETWEEN a.pos + 1 AND a.pos + {window}
             WHERE a.timeframe = '{timeframe}' GROUP BY 1, 2, 3, 4""",
             (pos,),
         ),
         f"{prefix}_label": (
-            f"""SELECT symbol, time, pos, close, CASE WHEN ahead < 24 THEN NULL
+            f"""SELECT symbol, time, pos, close, CASE WHEN ahead < {window} THEN NULL
                 WHEN long_win AND NOT short_win THEN 1
                 WHEN short_win AND NOT long_win THEN -1 ELSE 0 END AS target
             FROM (SELECT *, up_tp IS NOT NULL AND (up_sl IS NULL OR up_tp < up_sl) AS long_win,
@@ -136,6 +136,27 @@ def label_cte(prefix: str, pos: str, timeframe: str, tp: int, sl: int):
     }
 
 
+def passage_cte(tp: int, sl: int, window: int):
+    """How the trade of every signal ends and when the next may start."""
+    return (
+        f"""SELECT symbol, year, time, spread, proba_max, signal, pos,
+            CASE WHEN tp IS NOT NULL AND (sl IS NULL OR tp < sl) THEN 'win'
+                WHEN sl IS NOT NULL OR ahead < {window} THEN 'loss_sl' ELSE 'loss_timeout' END AS result,
+            CASE WHEN least(tp, sl) IS NOT NULL THEN least(tp, sl)
+                WHEN ahead < {window} THEN pos + ahead + 1 ELSE pos + {window} END AS free_at
+        FROM (SELECT a.symbol, a.year, a.time, a.spread, a.proba_max, a.signal, a.pos,
+                count(b.pos) AS ahead,
+                min(CASE WHEN (a.signal = 1 AND b.high >= a.close + {tp})
+                    OR (a.signal = -1 AND b.low <= a.close - {tp}) THEN b.pos END) AS tp,
+                min(CASE WHEN (a.signal = 1 AND b.low <= a.close - {sl})
+                    OR (a.signal = -1 AND b.high >= a.close + {sl}) THEN b.pos END) AS sl
+            FROM sig a LEFT JOIN sig b ON a.symbol = b.symbol AND a.year = b.year
+                AND b.pos BETWEEN a.pos + 1 AND a.pos + {window}
+            WHERE a.signal <> 0 GROUP BY ALL)""",
+        ("sig",),
+    )
+
+
 MODEL_COLUMNS = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
 # The features of the table, in its order.
 FEATURES = (
@@ -176,6 +197,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     **label_cte("ev", "ev_pos", "H1", 40_000, 20_000),
     **label_cte("od", "od_pos", "D1", 800_000, 400_000),
     **label_cte("day", "day_pos", "D1", 800_000, 400_000),
+    **label_cte("year", "day_pos", "D1", 4_000_000, 3_000_000, 250),
     "ev_side": (
         """SELECT CASE symbol WHEN 'purchase' THEN 'XAU_Return' ELSE 'CHF_Return' END AS series,
             symbol, time, ln(close / pc) AS value
@@ -228,23 +250,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
             FROM rule r JOIN table_rows f USING (symbol, time))""",
         ("rule", "table_rows"),
     ),
-    "passage": (
-        """SELECT symbol, year, time, spread, proba_max, signal, pos,
-            CASE WHEN tp IS NOT NULL AND (sl IS NULL OR tp < sl) THEN 'win'
-                WHEN sl IS NOT NULL OR ahead < 24 THEN 'loss_sl' ELSE 'loss_timeout' END AS result,
-            CASE WHEN least(tp, sl) IS NOT NULL THEN least(tp, sl)
-                WHEN ahead < 24 THEN pos + ahead + 1 ELSE pos + 24 END AS free_at
-        FROM (SELECT a.symbol, a.year, a.time, a.spread, a.proba_max, a.signal, a.pos,
-                count(b.pos) AS ahead,
-                min(CASE WHEN (a.signal = 1 AND b.high >= a.close + 800000)
-                    OR (a.signal = -1 AND b.low <= a.close - 800000) THEN b.pos END) AS tp,
-                min(CASE WHEN (a.signal = 1 AND b.low <= a.close - 400000)
-                    OR (a.signal = -1 AND b.high >= a.close + 400000) THEN b.pos END) AS sl
-            FROM sig a LEFT JOIN sig b ON a.symbol = b.symbol AND a.year = b.year
-                AND b.pos BETWEEN a.pos + 1 AND a.pos + 24
-            WHERE a.signal <> 0 GROUP BY ALL)""",
-        ("sig",),
-    ),
+    "passage": passage_cte(800_000, 400_000, 24),
+    "passage_long": passage_cte(4_000_000, 3_000_000, 250),
     "nxt": (
         """SELECT a.symbol, a.year, a.pos, min(b.pos) AS next_pos
         FROM passage a LEFT JOIN passage b ON a.symbol = b.symbol AND a.year = b.year
@@ -533,6 +540,7 @@ ORACLE: dict[str, str] = {
         "raw",
     ),
     "label_triple_barrier": sql("SELECT symbol, time, close, target FROM ev_label", "ev_label"),
+    "label_long_window": sql("SELECT symbol, time, close, target FROM year_label", "year_label"),
     "unlabelled_tail": sql(
         """SELECT symbol, count(*) AS rows, max(time) AS last_time FROM day_label
         WHERE target IS NOT NULL GROUP BY 1""",
@@ -670,6 +678,9 @@ ORACLE: dict[str, str] = {
     "first_passage": sql(
         "SELECT symbol, year, time, signal, pos, free_at, result FROM passage", "passage"
     ),
+    "first_passage_long": sql(
+        "SELECT symbol, year, time, signal, pos, free_at, result FROM passage_long", "passage_long"
+    ),
     "non_overlapping_events": sql(
         "SELECT symbol, year, time, pos, free_at, result FROM gross", "gross"
     ),

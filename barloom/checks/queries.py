@@ -50,6 +50,8 @@ EVENT_BARRIERS = Barriers(40_000.0, 20_000.0, 24, 1.0)
 ORDER_BARRIERS = Barriers(800_000.0, 400_000.0, 24, 1.0)
 EVENT_SERIES = Series("H1", "H4", "H8", (("purchase", "XAU_Return"), ("click", "CHF_Return")))
 ORDER_SERIES = Series("D1", "D7", "D14", (("2-HIGH", "XAU_Return"), ("5-LOW", "CHF_Return")))
+# Windows of a year of daily bars, in which nearer barriers would all be touched at once.
+LONG_BARRIERS = Barriers(4_000_000.0, 3_000_000.0, 250, 1.0)
 ACCOUNT = Account(capital=400_000_000.0)
 RULES = Rules(ORDER_BARRIERS, ACCOUNT)
 SPLIT = Split(train_end=1999, validate=2000, test=2001)
@@ -254,6 +256,11 @@ def q_label_triple_barrier(spark, sf_dir):
     return labelled.select(*TIME_KEYS, "close", F.col("Target").alias("target"))
 
 
+def q_label_long_window(spark, sf_dir):
+    labelled = triple_barrier_label(daily(spark, sf_dir), LONG_BARRIERS, positions="given")
+    return labelled.select(*TIME_KEYS, "close", F.col("Target").alias("target"))
+
+
 def q_unlabelled_tail(spark, sf_dir):
     labelled = triple_barrier_label(daily(spark, sf_dir), ORDER_BARRIERS, positions="given")
     return drop_unlabelled_tail(labelled).groupBy("symbol").agg(
@@ -416,6 +423,12 @@ def q_first_passage(spark, sf_dir):
     )
 
 
+def q_first_passage_long(spark, sf_dir):
+    return events.first_passage(inputs(spark, sf_dir), LONG_BARRIERS).select(
+        "symbol", "year", "time", "signal", "pos", "free_at", "result"
+    )
+
+
 def q_non_overlapping_events(spark, sf_dir):
     found = events.first_passage(inputs(spark, sf_dir), ORDER_BARRIERS)
     return events.non_overlapping_events(found, ORDER_BARRIERS.window).select(
@@ -645,6 +658,7 @@ QUERIES: dict[str, Query] = {
     "clean_summary": q_clean_summary,
     "rejected_rows": q_rejected_rows,
     "label_triple_barrier": q_label_triple_barrier,
+    "label_long_window": q_label_long_window,
     "unlabelled_tail": q_unlabelled_tail,
     "label_distribution": q_label_distribution,
     "feat_log_return": q_log_return,
@@ -672,6 +686,7 @@ QUERIES: dict[str, Query] = {
     "weights": q_weights,
     "signal_count": q_signal_count,
     "first_passage": q_first_passage,
+    "first_passage_long": q_first_passage_long,
     "non_overlapping_events": q_non_overlapping_events,
     "trades": q_trades,
     "entries": q_entries,

@@ -92,12 +92,14 @@ class Layout:
     totals. Bar times are unique per series, so a slice holds at most width / bar length rows.
     ``block_rows``: rows per block for window operators, cut by position, so every block is
     equally large however many rows one symbol has. ``sub_rows`` divides ``block_rows`` and is
-    the span over which an exponential mean is summed directly.
+    the span over which an exponential mean is summed directly. Barriers with a window of up to
+    ``list_window`` bars are found in lists of the bars ahead, longer ones by doubling frames.
     """
 
     slice_seconds: int = 30 * 86_400
     block_rows: int = 131_072
     sub_rows: int = 2_048
+    list_window: int = 64
 
 
 # The features that the published study leaves out of its model.

@@ -19,6 +19,7 @@ from barloom.functions.trading import (
 )
 from barloom.operators.labels import bars_ahead, first_touch, wins
 from barloom.operators.series import Blocks, with_position
+from barloom.operators.touches import SIDES, first_touches
 
 YEARLY = ("symbol", "year")
 CONFIDENCES = {"conf_up": "proba_hausse", "conf_flat": "proba_neutre", "conf_down": "proba_baisse"}
@@ -82,26 +83,33 @@ def first_passage(
         columns.append("pos")
     narrow = signals.select(*keys, "time", "high", "low", "close", *columns)
     rows = blocks.spread(with_position(narrow, keys, layout, positions=positions), positions)
-    rows = rows.withColumn("_ahead", bars_ahead(blocks, barriers.window))
-    rows = blocks.own_rows(rows).where(F.col("signal") != 0)
-
-    entry, ahead, long = F.col("close"), F.col("_ahead"), F.col("signal") == 1
-    touch = F.when(long, first_touch(ahead, entry, barriers, 1)).otherwise(
-        first_touch(ahead, entry, barriers, -1)
-    )
-    rows = rows.withColumn("_touch", touch)
-    touch = F.col("_touch")
-    won = F.when(long, wins(touch, entry, barriers, 1)).otherwise(wins(touch, entry, barriers, -1))
-    full = F.size(ahead) == barriers.window
+    long = F.col("signal") == 1
+    if barriers.window > layout.list_window:
+        rows = first_touches(rows, blocks, barriers, SIDES, wanted="signal")
+        touch = F.when(long, F.col("_touch_long")).otherwise(F.col("_touch_short"))
+        won = F.when(long, F.col("_won_long")).otherwise(F.col("_won_short"))
+        ahead = F.col("_seen")
+    else:
+        rows = rows.withColumn("_ahead", bars_ahead(blocks, barriers.window))
+        rows = blocks.own_rows(rows).where(F.col("signal") != 0)
+        entry, bars = F.col("close"), F.col("_ahead")
+        first = F.when(long, first_touch(bars, entry, barriers, 1)).otherwise(
+            first_touch(bars, entry, barriers, -1)
+        )
+        rows = rows.withColumn("_touch", first)
+        bar = F.col("_touch")
+        won = F.when(long, wins(bar, entry, barriers, 1)).otherwise(wins(bar, entry, barriers, -1))
+        touch, ahead = bar["pos"], F.size(bars)
+    full = ahead == barriers.window
     result = (
         F.when(won, F.lit("win"))
         .when(touch.isNull() & full, F.lit("loss_timeout"))
         .otherwise(F.lit("loss_sl"))
     )
     free_at = (
-        F.when(touch.isNotNull(), touch["pos"])
+        F.when(touch.isNotNull(), touch)
         .when(full, F.col("pos") + barriers.window)
-        .otherwise(F.col("pos") + F.size(ahead) + 1)
+        .otherwise(F.col("pos") + ahead + 1)
     )
     seen = [c for c in columns if c != "pos"]
     return rows.select(*keys, "time", "pos", free_at.alias("free_at"), result.alias("result"), *seen)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import Barriers, Indicators, Layout
-from barloom.operators.labels import add_target
+from barloom.operators.labels import add_target, triple_barrier_label
 from barloom.operators.series import (
     RATIO_TAIL,
     TAIL,
@@ -192,6 +192,10 @@ def add_indicators(
     they are NULL. Known names: Log_Return, EMA_<n>, Dist_EMA_<n>, RSI_<n>, ATR_<n>, ATR_Norm, ADX_<n>,
     BB_Width, Hour_Sin, Hour_Cos; <n> must be the length in ``spec`` except for the EMAs.
     """
+    if label and label.window > layout.list_window:
+        labelled = triple_barrier_label(bars, label, keys, layout, positions=positions)
+        added = add_indicators(labelled, columns, spec, keys, layout, positions=positions)
+        return added.select(*bars.columns, "Target", *columns)
     emas = sorted({int(c.rsplit("_", 1)[1]) for c in columns if "EMA_" in c})
     want_rsi = f"RSI_{spec.rsi}" in columns
     want_adx = f"ADX_{spec.adx}" in columns

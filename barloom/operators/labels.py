@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import Barriers, Layout
 from barloom.operators.series import Blocks, with_position
+from barloom.operators.touches import SIDES, first_touches
 
 
 def bars_ahead(blocks: Blocks, window: int) -> Column:
@@ -44,13 +45,18 @@ def add_target(df: DataFrame, blocks: Blocks, barriers: Barriers, name: str = "T
             "_short": wins(first_touch(F.col("_ahead"), entry, barriers, -1), entry, barriers, -1),
         }
     )
-    label = (
-        F.when(F.size("_ahead") < barriers.window, F.lit(None).cast("int"))
-        .when(F.col("_long") & ~F.col("_short"), F.lit(1))
-        .when(F.col("_short") & ~F.col("_long"), F.lit(-1))
+    label = label_of(F.size("_ahead") == barriers.window, F.col("_long"), F.col("_short"))
+    return touched.withColumn(name, label).drop("_ahead", "_long", "_short")
+
+
+def label_of(full: Column, long: Column, short: Column) -> Column:
+    """1 or -1 where that side alone wins, 0 otherwise, NULL without a full window."""
+    return (
+        F.when(~full, F.lit(None).cast("int"))
+        .when(long & ~short, F.lit(1))
+        .when(short & ~long, F.lit(-1))
         .otherwise(F.lit(0))
     )
-    return touched.withColumn(name, label).drop("_ahead", "_long", "_short")
 
 
 def triple_barrier_label(
@@ -64,6 +70,12 @@ def triple_barrier_label(
     """Label every bar; the last ``window`` bars of a series keep NULL."""
     blocks = Blocks(tuple(keys), 0, barriers.window, layout)
     spread = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
+    if barriers.window > layout.list_window:
+        found = first_touches(spread, blocks, barriers, SIDES)
+        full = F.col("_seen") == barriers.window
+        return found.withColumn(name, label_of(full, F.col("_won_long"), F.col("_won_short"))).select(
+            *bars.columns, name
+        )
     labelled = blocks.own_rows(add_target(spread, blocks, barriers, name))
     return labelled.select(*bars.columns, name)
 

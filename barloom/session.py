@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -37,6 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, besides their own path. On a
+    cluster it is installed or sent along, and the extra entry finds nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
 def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a product that several steps read and return the written table.
 
