@@ -77,9 +77,9 @@ def test_long_trades_end_as_in_a_loop(spark, layout):
     side = spark.createDataFrame([(int(k), s) for k, s in hours.items()], "at long, signal int")
     bars = bars_frame(spark, rows).withColumn("year", F.lit(2024))
     bars = bars.withColumn("at", F.unix_timestamp(F.col("time").cast("timestamp"))).join(side, "at")
-    barriers = Barriers(120, 80, 200, 1.0)
+    barriers = Barriers(60, 50, 200, 1.0)
     found = first_passage(bars, barriers, layout=layout)
-    expected = loop_trades(rows, signals, 120, 80, 200)
+    expected = loop_trades(rows, signals, 60, 50, 200)
     kept = non_overlapping_events(found, barriers.window).orderBy("pos").collect()
     assert [(r.pos, r.result, r.free_at) for r in kept] == expected
     assert {"win", "loss_sl"} <= {e[1] for e in expected}
