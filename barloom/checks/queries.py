@@ -31,7 +31,7 @@ from barloom.operators.labels import (
     label_distribution,
     triple_barrier_label,
 )
-from barloom.plans import training
+from barloom.plans import models, training
 from barloom.plans.evaluation import Rules, evaluation, evaluation_inputs, priced_trades
 from barloom.plans.ml_table import (
     Series,
@@ -594,7 +594,7 @@ def q_importance_filter(spark, sf_dir):
 def fitted(spark, sf_dir):
     table = stored(full_table(spark, sf_dir))
     names = filters.feature_columns(table)
-    return table, names, training.train_forest(table, names, SPLIT, FOREST)
+    return table, names, models.stored_forest(table, names, SPLIT, FOREST)
 
 
 def q_forest_predictions(spark, sf_dir):

@@ -19,8 +19,8 @@ SERIES_ORDER = ("symbol", "time")
 _made: dict[str, list[str]] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``.
 
     A session on one machine may go without that setting and then gets a folder of its own. On a
     cluster the setting must name its file system, because a bare path would be a different folder
@@ -33,7 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set(SETTING, base)
-    path = f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``, which goes with ``remove_products``."""
+    path = f"{shared_base(spark)}/barloom-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -60,6 +65,19 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target is there already. Other readers see all of it or nothing."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    system = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(paths[1].getParent())
+    return not system.exists(paths[1]) and system.rename(*paths)
+
+
 def remove_products(spark: SparkSession, since: int = 0) -> int:
     """Delete the folders that this session made, from the ``since``-th on; how many there were."""
     made = _made.get(spark.sparkContext.applicationId, [])
