@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WHITE, id_or_smallest, lower_ascii, stored
+from barloom.llm.common import WHITE, document_key, lower_ascii, stored
 
 KEY = ["h1", "h2"]
 
@@ -89,7 +89,7 @@ def long_lines(docs: DataFrame, rule: LineRule) -> DataFrame:
     """One row per line that can be a duplicate: document, line number, key, and whether it is the
     first line of the document with that key. ``body`` tells rows apart that share an id."""
     rows = docs.select(
-        id_or_smallest().alias("doc"),
+        document_key().alias("doc"),
         F.xxhash64("text").alias("body"),
         F.transform(lines_of(), line_key).alias("keys"),
     )
@@ -124,7 +124,7 @@ def batch_number(docs: DataFrame, batches: int) -> Column:
     ranks = [n / batches for n in range(batches - 1, 0, -1)]
     if not ranks:
         return F.lit(0)
-    cuts = docs.agg(F.percentile_approx(id_or_smallest(), ranks, 1_000).alias("cuts")).first().cuts
+    cuts = docs.agg(F.percentile_approx(document_key(), ranks, 1_000).alias("cuts")).first().cuts
     number = F.lit(0)
     for cut in cuts or []:
         number += F.when(F.col("doc") <= cut, 1).otherwise(0)
@@ -155,8 +155,9 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
     """``docs`` with their text less the repeated lines, and ``n_lines`` before, ``n_dropped``.
 
     A key in ``min_docs`` documents or more loses all its lines except those in the largest
-    doc_id that holds it. Rows that share a doc_id are one document there, and a null doc_id is
-    the smallest. A null or empty text is one empty line, which stays; the text returned is then
+    doc_id that holds it. Rows that share a doc_id are one document there. A row without one is a
+    document of its own, told apart by its text and smaller than all ids; if only such rows hold a
+    key, a hash of the text decides which of them keeps it. A null or empty text is one empty line, which stays; the text returned is then
     empty. Other columns pass through; input columns named like the two counts are replaced.
     """
     lines, repeated = repeated_lines(docs, rule)
@@ -170,7 +171,7 @@ def dedup_lines(docs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
         .agg(F.sort_array(F.collect_list("line")).alias("__drops"))
     )
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    rows = docs.withColumns({"__doc": id_or_smallest(), "__body": F.xxhash64("text")})
+    rows = docs.withColumns({"__doc": document_key(), "__body": F.xxhash64("text")})
     rows = rows.join(drops, ["__doc", "__body"], "left").withColumn("__lines", lines_of())
     ends = F.concat(F.col("__drops"), F.array(F.size("__lines")))
 

@@ -48,7 +48,8 @@ from cut
 
 LINES = r"""
 with split_lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+  select doc_id, text, coalesce(doc_id::hugeint, (hash(text) % 4611686018427387904)::hugeint - 9223372036854775808) as doc,
+         unnest(string_split(coalesce(text, ''), chr(10))) as line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
   from documents
 ), keyed as (
@@ -56,15 +57,15 @@ with split_lines as (
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
   from split_lines
 ), repeated as (
-  select k, max(doc_id) as owner from keyed where length(k) >= 20
-  group by k having count(distinct doc_id) >= 3
+  select k, max(doc) as owner from keyed where length(k) >= 20
+  group by k having count(distinct doc) >= 3
 ), judged as (
-  select a.doc_id, a.line, a.i, r.k is not null and a.doc_id <> r.owner as gone
+  select a.doc_id, a.doc, a.line, a.i, r.k is not null and a.doc <> r.owner as gone
   from keyed a left join repeated r using (k)
 )
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
-from judged group by doc_id
+from judged group by doc_id, doc
 """
 
 JACCARD = r"""

@@ -24,6 +24,35 @@ def test_result_does_not_depend_on_batches(odd_docs):
         assert sorted(map(str, lines.line_digests(odd_docs, rule).collect())) == want
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    shared, other = "a line that several documents share", "another line that documents share"
+    both = [(1, f"{shared}\nx"), (2, f"{shared}\ny"), (None, f"{shared}\nz")]
+    found = {(r.doc_id, r.n_dropped) for r in lines.line_digests(spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 0), (None, 1)}
+    rows = [(None, f"{k}\n{other}") for k in "abcd"]
+    drops = sorted(r.n_dropped for r in lines.line_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert drops == [0, 1, 1, 1]
+    # Equal texts without an id are one document.
+    same = [(None, other)] * 5 + [(7, f"{other}\nx")]
+    assert {r.n_dropped for r in lines.line_digests(spark.createDataFrame(same, "doc_id long, text string")).collect()} == {0}
+
+
+def test_the_sql_agrees_on_rows_without_an_id(spark):
+    import duckdb
+
+    from barloom.llm.sql import SQL
+
+    shared = "a line that several documents share"
+    rows = [(5, shared), (None, f"{shared}\nx"), (None, f"{shared}\ny"), (None, "alone"), (6, f" {shared.upper()}\nz")]
+    connection = duckdb.connect()
+    connection.execute("create table documents (doc_id bigint, text varchar)")
+    connection.executemany("insert into documents values (?, ?)", rows)
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    want = connection.sql(f"select {', '.join(names)} from ({SQL['op6_line_dedup']})").fetchall()
+    found = [tuple(r) for r in lines.line_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_other_columns_pass(odd_docs):
     kept = lines.dedup_lines(odd_docs)
     assert set(kept.columns) >= set(odd_docs.columns) | {"n_dropped"}
