@@ -569,6 +569,9 @@ ORACLE: dict[str, str] = {
             cos(2 * pi() * hour(time) / 24) AS Hour_Cos FROM ev_bars WHERE timeframe = 'H1')""",
         "ev_bars",
     ),
+    "feat_increments": feature(
+        "day", "D1", 6, "Log_Return", "Dist_EMA_9", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width"
+    ),
     "feat_base_tf": sql(
         """SELECT symbol, timeframe, time, round(RSI_14, 6) AS RSI_14_C,
             round(Dist_EMA_20, 9) AS Dist_EMA_20_C, round(Dist_EMA_50, 9) AS Dist_EMA_50_C

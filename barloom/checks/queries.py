@@ -26,6 +26,7 @@ from barloom.operators.indicators import (
     log_returns,
     macro_returns,
 )
+from barloom.operators.increments import add_to_indicators
 from barloom.operators.labels import (
     drop_unlabelled_tail,
     label_distribution,
@@ -58,6 +59,7 @@ SPLIT = Split(train_end=1999, validate=2000, test=2001)
 FOREST = Forest()
 FEATURES = tuple(c for c in ML_COLUMNS if c not in ("Target", "Spread"))
 MODEL_COLUMNS = ("Log_Return", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
+INCREMENT_COLUMNS = ("Log_Return", "Dist_EMA_9", "Dist_EMA_50", "RSI_14", "ADX_14", "ATR_Norm", "BB_Width")
 TIME_KEYS = ("symbol", "time")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +297,18 @@ def q_hour_cyclic(spark, sf_dir):
     return rounded(hour_cyclic(hourly(spark, sf_dir)).select(*TIME_KEYS, "Hour_Sin", "Hour_Cos"))
 
 
+def q_feat_increments(spark, sf_dir):
+    """Features of bars that come in three parts, each computed from the part and the state before."""
+    bars = stored(daily(spark, sf_dir).drop("pos"))
+    cuts, state, found = (1900, 1995, 1998, 2100), None, None
+    for first, end in zip(cuts, cuts[1:]):
+        part = bars.where((F.col("time") >= filters.year_start(first)) & (F.col("time") < filters.year_start(end)))
+        added, state = add_to_indicators(part, INCREMENT_COLUMNS, state)
+        state = stored(state)
+        found = added if found is None else found.unionByName(added)
+    return rounded(found.select(*TIME_KEYS, *INCREMENT_COLUMNS))
+
+
 def q_base_tf(spark, sf_dir):
     bars = bars_from_events(spark, sf_dir, ("H4", "H8"))
     return rounded(base_features(bars, "_C", positions="given"), 9, RSI_14_C=6)
@@ -669,6 +683,7 @@ QUERIES: dict[str, Query] = {
     "feat_adx": feature_query(daily, ("ADX_14",), 6),
     "feat_bb_width": feature_query(hourly, ("BB_Width",), 8),
     "feat_hour_cyclic": q_hour_cyclic,
+    "feat_increments": q_feat_increments,
     "feat_base_tf": q_base_tf,
     "feat_macro_returns": q_macro_returns,
     "asof_multi_timeframe": q_asof_multi_timeframe,

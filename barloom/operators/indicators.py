@@ -38,6 +38,12 @@ class Pass:
     inputs: dict[str, str] = field(default_factory=dict)
     scans: dict[str, Decay] = field(default_factory=dict)
     results: dict[str, str] = field(default_factory=dict)
+    gaps: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def kept(self) -> dict[str, str]:
+        """What later bars need of each sum: the sum, from the last gap on where it starts anew."""
+        return {f"_k{name}": self.gaps.get(name, name) for name in self.scans}
 
 
 def wilder_factor(length: int) -> float:
@@ -100,6 +106,7 @@ def _add_wilder(
     mean, ready = f"_yw{x}", f"{x} is not null"
     if gaps:
         mean = since_gap(mean, x, factor, blocks)
+        step.gaps[f"_yw{x}"] = mean
     known, share = f"coalesce({x}, 0D)", f"{1.0 - factor!r}D"
     if start == "first":
         step.inputs[f"_zw{x}"] = f"case when {begins} then {x} else {known} * {share} end"
@@ -108,6 +115,7 @@ def _add_wilder(
         step.inputs[f"_zn{x}"] = f"cast({x} is not null as double)"
         step.scans[f"_yn{x}"] = Decay(f"_zn{x}", factor, tail)
         shares = since_gap(f"_yn{x}", x, factor, blocks) if gaps else f"_yn{x}"
+        step.gaps[f"_yn{x}"] = shares
         mean = f"try_divide({mean}, {shares})"
     elif start == "sma":
         seen = f"count({x}) {blocks.up_to_now}"
@@ -138,11 +146,22 @@ def _add_range_mean(step: Pass, blocks: Blocks, length: int) -> None:
     step.results["_atr"] = f"case when pos >= {length - 1} then _y_atr end"
 
 
-def _solve(df: DataFrame, blocks: Blocks, step: Pass) -> DataFrame:
+def _solve(df: DataFrame, blocks: Blocks, step: Pass, carried: bool = False, keep: bool = False) -> DataFrame:
+    """Solve the sums of a pass. Rows ``carried`` over know the sums up to row ``_at`` (``_c`` and the
+    name of the scan), from which they go on. With ``keep`` the sums stay, from the last gap on."""
     if not step.scans:
         return df
-    df = decaying_sums(df.withColumns(texts(step.inputs)), blocks, step.scans)
-    return df.withColumns(texts(step.results)).drop(*step.inputs, *step.scans)
+    inputs = step.inputs
+    if carried:
+        inputs = {n: f"case when pos = _at then 0D else {text} end" for n, text in inputs.items()}
+    df = decaying_sums(df.withColumns(texts(inputs)), blocks, step.scans)
+    if carried:
+        since = "cast(pos - _at as double)"
+        df = df.withColumns(
+            texts({n: f"{n} + coalesce(pow({x.factor!r}D, {since}) * _c{n}, 0D)" for n, x in step.scans.items()})
+        )
+    df = df.withColumns(texts(step.results | (step.kept if keep else {})))
+    return df.drop(*step.inputs, *step.scans)
 
 
 def _changes(df: DataFrame, blocks: Blocks, spec: Indicators) -> DataFrame:
@@ -176,30 +195,18 @@ LOG_RETURN = "ln(try_divide(close, {before}))"
 TURN = f"hour(time) * {2.0 * math.pi / 24.0!r}D"
 
 
-def add_indicators(
-    bars: DataFrame,
-    columns: Sequence[str],
-    spec: Indicators = Indicators(),
-    keys: Sequence[str] = ("symbol", "timeframe"),
-    layout: Layout = Layout(),
-    label: Barriers | None = None,
-    positions: str = "count",
-) -> DataFrame:
-    """Add the named columns to the bars, and with ``label`` also ``Target``.
-
-    ``positions`` as in ``with_position``. RSI and ADX compare ups with downs, so they stay as they
-    are while nothing moves; after 600 time constants without a move (8,096 bars for length 14)
-    they are NULL. Known names: Log_Return, EMA_<n>, Dist_EMA_<n>, RSI_<n>, ATR_<n>, ATR_Norm, ADX_<n>,
-    BB_Width, Hour_Sin, Hour_Cos; <n> must be the length in ``spec`` except for the EMAs.
-    """
-    if label and label.window > layout.list_window:
-        labelled = triple_barrier_label(bars, label, keys, layout, positions=positions)
-        added = add_indicators(labelled, columns, spec, keys, layout, positions=positions)
-        return added.select(*bars.columns, "Target", *columns)
+def wanted(columns: Sequence[str], spec: Indicators) -> tuple[list[int], bool, bool, bool]:
+    """Lengths of the EMAs, and whether RSI, ATR and ADX are among the columns."""
     emas = sorted({int(c.rsplit("_", 1)[1]) for c in columns if "EMA_" in c})
-    want_rsi = f"RSI_{spec.rsi}" in columns
-    want_adx = f"ADX_{spec.adx}" in columns
     want_atr = "ATR_Norm" in columns or f"ATR_{spec.atr}" in columns
+    return emas, f"RSI_{spec.rsi}" in columns, want_atr, f"ADX_{spec.adx}" in columns
+
+
+def indicator_blocks(
+    columns: Sequence[str], spec: Indicators, keys: Sequence[str], layout: Layout, ahead: int = 0
+) -> Blocks:
+    """Blocks that reach back as far as the columns look."""
+    emas, want_rsi, want_atr, want_adx = wanted(columns, spec)
     factors = [ema_factor(n) for n in emas]
     factors += [wilder_factor(n) for n in (spec.rsi, spec.atr, spec.adx)]
     layout = layout_for(layout, factors)
@@ -218,21 +225,25 @@ def add_indicators(
         f = wilder_factor(spec.adx)
         reach.append(span(f, RATIO_TAIL) + span(f, TAIL))
     back = max(reach + [spec.bollinger]) + 1
-    blocks = Blocks(tuple(keys), back, label.window if label else 0, layout)
+    return Blocks(tuple(keys), back, ahead, layout)
 
-    df = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
-    if label:
-        df = add_target(df, blocks, label)
+
+def indicator_columns(
+    df: DataFrame, blocks: Blocks, columns: Sequence[str], spec: Indicators, carried: bool = False, keep: bool = False
+) -> DataFrame:
+    """Add the columns to rows spread over blocks; ``carried`` and ``keep`` as in ``_solve``."""
+    emas, want_rsi, want_atr, want_adx = wanted(columns, spec)
     df = _changes(df, blocks, spec)
 
-    def last_move(up: str, down: str) -> str:
-        return f"max(case when {up} > 0 or {down} > 0 then pos end) {blocks.up_to_now}"
+    def last_move(up: str, down: str, before: str) -> str:
+        own = f"max(case when {up} > 0 or {down} > 0 then pos end) {blocks.up_to_now}"
+        return f"coalesce({own}, {before})" if carried else own
 
     moves = {}
     if want_rsi:
-        moves["_rsi_move"] = last_move("_gain", "_loss")
+        moves["_rsi_move"] = last_move("_gain", "_loss", "_c_rsi_move")
     if want_adx:
-        moves["_adx_move"] = last_move("_plus", "_minus")
+        moves["_adx_move"] = last_move("_plus", "_minus", "_c_adx_move")
     df = df.withColumns(texts(moves))
 
     first, second = Pass(), Pass()
@@ -246,7 +257,7 @@ def add_indicators(
     if want_adx:
         for value in ("_plus", "_minus"):
             _add_wilder(first, blocks, value, spec.adx, spec.wilder_start, RATIO_TAIL, "pos = 1")
-    df = _solve(df, blocks, first)
+    df = _solve(df, blocks, first, carried, keep)
     if want_adx:
         # Both direction lines are 100 * mean / ATR, so the ATR cancels and only says from which
         # bar on they exist.
@@ -255,7 +266,7 @@ def add_indicators(
         df = df.withColumn("_dx", F.expr(f"case when pos >= {spec.adx - 1} and {moving} then {strength} end"))
         begins = first_value("_dx", blocks)
         _add_wilder(second, blocks, "_dx", spec.adx, spec.wilder_start, TAIL, begins, gaps=True)
-        df = _solve(df, blocks, second)
+        df = _solve(df, blocks, second, carried, keep)
 
     trailing = blocks.over(f"rows between {spec.bollinger - 1} preceding and current row")
     deviation = "stddev_pop" if spec.bollinger_sd == "population" else "stddev_samp"
@@ -277,7 +288,34 @@ def add_indicators(
     for n in emas:
         known[f"EMA_{n}"] = f"_ema_{n}"
         known[f"Dist_EMA_{n}"] = f"try_divide(close - _ema_{n}, close)"
-    df = df.withColumns(texts({c: known[c] for c in columns}))
+    return df.withColumns(texts({c: known[c] for c in columns}))
+
+
+def add_indicators(
+    bars: DataFrame,
+    columns: Sequence[str],
+    spec: Indicators = Indicators(),
+    keys: Sequence[str] = ("symbol", "timeframe"),
+    layout: Layout = Layout(),
+    label: Barriers | None = None,
+    positions: str = "count",
+) -> DataFrame:
+    """Add the named columns to the bars, and with ``label`` also ``Target``.
+
+    ``positions`` as in ``with_position``. RSI and ADX compare ups with downs, so they stay as they
+    are while nothing moves; after 600 time constants without a move (8,096 bars for length 14)
+    they are NULL. Known names: Log_Return, EMA_<n>, Dist_EMA_<n>, RSI_<n>, ATR_<n>, ATR_Norm, ADX_<n>,
+    BB_Width, Hour_Sin, Hour_Cos; <n> must be the length in ``spec`` except for the EMAs.
+    """
+    if label and label.window > layout.list_window:
+        labelled = triple_barrier_label(bars, label, keys, layout, positions=positions)
+        added = add_indicators(labelled, columns, spec, keys, layout, positions=positions)
+        return added.select(*bars.columns, "Target", *columns)
+    blocks = indicator_blocks(columns, spec, keys, layout, label.window if label else 0)
+    df = blocks.spread(with_position(bars, keys, layout, positions=positions), positions)
+    if label:
+        df = add_target(df, blocks, label)
+    df = indicator_columns(df, blocks, columns, spec)
     kept = [*bars.columns, *(["Target"] if label else []), *columns]
     return blocks.own_rows(df).select(*kept)
 
