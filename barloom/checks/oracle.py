@@ -840,6 +840,13 @@ ORACLE: dict[str, str] = {
         "raw",
     ),
     "bars_round_trip": sql("SELECT * FROM day_bars", "day_bars"),
+    "rewritten_year": sql(
+        """SELECT CAST(year(time) AS INTEGER) AS year, count(*) AS rows,
+            CAST(sum(volume + CASE WHEN year(time) = 2000 THEN 1000 ELSE 0 END) AS DOUBLE) AS volume,
+            count(DISTINCT symbol) AS symbols
+        FROM day_bars WHERE year(time) <> 2000 OR symbol <> '5-LOW' GROUP BY 1""",
+        "day_bars",
+    ),
     "missing_year": sql(
         """SELECT CAST(year(time) AS INTEGER) AS year, count(*) AS rows FROM day_bars
         WHERE year(time) IN (2000, 2035) GROUP BY 1""",

@@ -216,6 +216,21 @@ def q_bars_round_trip(spark, sf_dir):
     return bar_files.read_bars(spark, path)
 
 
+def q_rewritten_year(spark, sf_dir):
+    """A product by year of which one year is written anew with other volumes, without its last symbol."""
+    path, bars = shared_folder(spark), filters.year_slice(daily(spark, sf_dir).drop("pos"), range(1990, 2003))
+    bar_files.write_table(bars, path, ["year"], ["symbol", "time"])
+    later = bars.where((F.col("year") == 2000) & (F.col("symbol") != "5-LOW"))
+    later = later.withColumn("volume", F.col("volume") + 1000)
+    bar_files.write_table(later, path, ["year"], ["symbol", "time"], replace="parts")
+    written = spark.read.schema(bars.schema).parquet(path)
+    return rounded(
+        written.groupBy("year").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"), F.count_distinct("symbol").alias("symbols")
+        )
+    )
+
+
 def q_missing_year(spark, sf_dir):
     """Bars per year of two yearly products, of which one does not exist."""
     path, bars = shared_folder(spark), daily(spark, sf_dir).drop("pos")
@@ -667,6 +682,7 @@ QUERIES: dict[str, Query] = {
     "raw_files": q_raw_files,
     "rejected_files": q_rejected_files,
     "bars_round_trip": q_bars_round_trip,
+    "rewritten_year": q_rewritten_year,
     "missing_year": q_missing_year,
     "feat_ema_since": q_feat_ema_since,
     "clean_summary": q_clean_summary,

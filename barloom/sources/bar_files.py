@@ -73,7 +73,7 @@ def plain_path(path: Column) -> Column:
 
 
 def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
-    """All raw files of a directory as text columns, with the series taken from the file name.
+    """All raw files of a directory and its folders as text columns, with the series taken from the file name.
 
     Columns are taken by position; more of them are ignored and missing ones are NULL. A heading
     is an ordinary row here: its time cannot be parsed, so cleaning removes it. A file that fails
@@ -87,6 +87,7 @@ def read_raw_bars(spark: SparkSession, directory: str, pattern: str = "*.csv") -
         .option("mode", "PERMISSIVE")
         .option("ignoreCorruptFiles", True)
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
         .csv(directory)
     )
     path = F.col("_metadata.file_path")
@@ -167,14 +168,24 @@ def optional_source(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
+    replace: str = "all",
 ) -> None:
     """Overwrite one product; rows are sorted inside files so that time filters skip row groups.
 
     With ``partition_by`` and a sort the rows are range-partitioned first: a large partition
-    value is spread over many writers, and each writer opens few directories.
+    value is spread over many writers, and each writer opens few directories. ``replace`` "parts"
+    replaces only the partitions that ``df`` has rows of, such as one year, and leaves the files of
+    the others alone; new files are staged beside them and take their places when all are written,
+    so a write that breaks off leaves the old rows.
     """
+    if replace not in ("all", "parts") or (replace == "parts" and not partition_by):
+        raise ValueError(f"cannot replace {replace} of a product with partitions {list(partition_by)}")
     if sort_by:
         df = df.repartitionByRange(*partition_by, *sort_by)
         df = df.sortWithinPartitions(*partition_by, *sort_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    mode = "dynamic" if replace == "parts" else "static"
+    df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*partition_by).parquet(path)

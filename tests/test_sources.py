@@ -209,3 +209,45 @@ def test_report(spark, tmp_path):
     path = str(tmp_path / "reports")
     write_reports(reports, path)
     assert spark.read.text(path).where("value like '%764%'").count() == 2
+
+
+def test_files_in_nested_folders_are_read_and_checked(spark, tmp_path):
+    rows = "".join(f"2024.01.0{d} 00:00:00\t1\t2\t0.5\t1.5\t10\t3\n" for d in range(1, 6))
+    for place in ("AAA_H1.csv", "2024/BBB_H1.csv", "2024/part/CCC_H4.csv"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(rows)
+    raw, files = read_raw_bars(spark, str(tmp_path)), checked_files(spark, str(tmp_path))
+    assert raw.groupBy("symbol").count().orderBy("symbol").collect() == [("AAA", 5), ("BBB", 5), ("CCC", 5)]
+    report = {symbol: (n, bad, un) for symbol, n, bad, un in (
+        (r.file.rsplit("/", 1)[1][:3], r["rows"], r.rejected, r.unreadable) for r in rejected_rows(raw, files).collect()
+    )}
+    assert report == {s: (5, 0, False) for s in ("AAA", "BBB", "CCC")}
+
+
+def test_one_part_of_a_product_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "product")
+    rows = spark.range(300).select((F.col("id") % 3 + 2020).alias("year"), "id", F.lit(0).alias("v"))
+    write_table(rows, path, ["year"], ["id"])
+
+    def files(year):
+        return {f.name: f.stat().st_mtime_ns for f in (tmp_path / "product" / f"year={year}").glob("*.parquet")}
+
+    before = {y: files(y) for y in (2020, 2021, 2022)}
+    later = rows.where("year = 2021 and id < 150").withColumn("v", F.lit(1))
+    write_table(later, path, ["year"], ["id"], replace="parts")
+    assert {y: files(y) for y in (2020, 2022)} == {y: before[y] for y in (2020, 2022)}
+    assert not set(files(2021)) & set(before[2021])
+
+    def sums():
+        return {r.year: (r.n, r.v) for r in spark.read.parquet(path).groupBy("year").agg(F.count("id").alias("n"), F.sum("v").alias("v")).collect()}
+
+    held = {2020: (100, 0), 2021: (50, 50), 2022: (100, 0)}
+    assert sums() == held
+    broken = rows.where("year = 2020").repartition(4).withColumn(
+        "v", F.when(F.col("id") == 297, F.raise_error(F.lit("lost")).cast("int")).otherwise(9)
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_table(broken, path, ["year"], replace="parts")
+    assert sums() == held
+    with pytest.raises(ValueError):
+        write_table(rows, path, replace="parts")
