@@ -12,14 +12,20 @@ PER_FILE = 1_000_000
 
 def rooted(hooks: DataFrame, files: int) -> DataFrame:
     """``node, hook`` with every hook followed to its root. A node never hooks to a larger one, so
-    hooks make trees, and following them twice as far each time takes the logarithm of their depth."""
+    hooks make trees, and following them twice as far each time takes the logarithm of their depth.
+    Only nodes that have not reached their root yet go on."""
+    settled, pending = None, hooks
     while True:
-        second = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
+        every = pending if settled is None else settled.unionByName(pending)
+        second = every.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
         moved = (F.col("hook") != F.col("top")).alias("moved")
-        jumped = hooks.select("node", "hook").join(second, "hook").select("node", F.col("top").alias("hook"), moved)
-        hooks = stored(jumped.coalesce(files))
-        if not hooks.where("moved").limit(1).count():
-            return hooks.select("node", "hook")
+        jumped = pending.join(second, "hook").select("node", F.col("top").alias("hook"), moved)
+        jumped = stored(jumped.coalesce(files), ["moved"])
+        done = jumped.where(~F.col("moved")).select("node", "hook")
+        settled = done if settled is None else settled.unionByName(done)
+        pending = jumped.where("moved").select("node", "hook")
+        if not pending.limit(1).count():
+            return settled
 
 
 def components(links: DataFrame) -> DataFrame:

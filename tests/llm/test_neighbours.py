@@ -96,7 +96,7 @@ def test_components_of_long_chains_take_few_tables(spark, monkeypatch, rising):
     n, tables = 1000, []
     names = list(range(n)) if rising else np.random.default_rng(1).permutation(n).tolist()
     real = graph.stored
-    monkeypatch.setattr(graph, "stored", lambda df: (tables.append(1), real(df))[1])
+    monkeypatch.setattr(graph, "stored", lambda df, *by: (tables.append(1), real(df, *by))[1])
     links = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(4)
     rows = graph.components(links).collect()
     assert len(rows) == n and {r.component for r in rows} == {0}
