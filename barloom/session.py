@@ -78,22 +78,28 @@ def moved(spark: SparkSession, source: str, target: str) -> bool:
     return not system.exists(paths[1]) and system.rename(*paths)
 
 
-def remove_products(spark: SparkSession, since: int = 0) -> int:
-    """Delete the folders that this session made, from the ``since``-th on; how many there were."""
+def products_made(spark: SparkSession) -> int:
+    """Folders that this session made and has not removed."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove_products(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> int:
+    """Delete the folders that this session made, from the ``since``-th on and but for those to
+    ``keep``; how many there were."""
     made = _made.get(spark.sparkContext.applicationId, [])
     conf = spark._jsc.hadoopConfiguration()
-    for folder in made[since:]:
+    going = [folder for folder in made[since:] if folder not in keep]
+    for folder in going:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    count = len(made) - since
-    del made[since:]
-    return count
+    made[since:] = [folder for folder in made[since:] if folder in keep]
+    return len(going)
 
 
 @contextmanager
 def products(spark: SparkSession) -> Iterator[SparkSession]:
     """Whatever is stored inside the block is deleted at its end; results must be out by then."""
-    since = len(_made.get(spark.sparkContext.applicationId, []))
+    since = products_made(spark)
     try:
         yield spark
     finally:
