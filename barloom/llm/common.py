@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import os
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import shared_folder
+from barloom.session import products_made, remove_products, shared_folder
 
 WHITE = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,8 +37,11 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     The step's shuffle files go when it ends, so a job of many steps never holds more than the
     shuffles of one; its result survives the loss of any executor.
     """
+    return written(df, shared_folder(df.sparkSession), partition_by)
+
+
+def written(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     spark = df.sparkSession
-    path = shared_folder(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -50,6 +54,21 @@ def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+@contextmanager
+def inner_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``stored`` writes inside the block are deleted at its end. The function given to
+    the block writes those that stay, which must hold all that is used later. After an error
+    everything stays, for whoever clears the session's products."""
+    since, kept = products_made(spark), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(shared_folder(spark))
+        return written(df, kept[-1])
+
+    yield keep
+    remove_products(spark, since, kept)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session, set up for Python functions over whole texts.
 

@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import itertools
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import (
     WordHashes,
     document_key,
+    inner_tables,
     key_or_null,
     scrambled,
     sequence,
@@ -47,7 +49,7 @@ from barloom.llm.graph import components
 # Odd numbers that place the words of a shingle.
 PLACES = scrambled(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SALTS = scrambled(np.arange(101, 105, dtype=np.uint64))
-SIGNATURE = "doc long, body long, n int, h1 long, h2 long, bits binary, start array<long>"
+SIGNATURE = "doc long, body long, n int, h1 long, h2 long, start array<long>"
 SETS = "class long, n int, bits binary, members binary"
 
 
@@ -128,7 +130,7 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Per row: key, size and hashes of its set, bitmap, and the beginning of its sorted set."""
+    """Per row: key, size and hashes of its set, and the beginning of its sorted set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -150,10 +152,9 @@ def signatures(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                     pa.array(sizes.astype(np.int32)),
                     pa.array(sums[0]),
                     pa.array(sums[1]),
-                    pa.array(bitmaps(members, sizes, rule.percent), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(begin)),
                 ],
-                ["doc", "body", "n", "h1", "h2", "bits", "start"],
+                ["doc", "body", "n", "h1", "h2", "start"],
             )
 
     return keyed(docs).mapInArrow(signed, SIGNATURE)
@@ -164,11 +165,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, classes: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Whole sets of the documents that stand for the given classes."""
+    """Whole sets of the documents that stand for the given classes. Their texts are shuffled
+    compressed one by one, in two thirds of the bytes that the shuffle's own compression leaves."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [press.compress(t.encode()) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("body"), pa.array(texts, pa.binary())], ["doc", "body", "text"]
+            )
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Some texts to a batch, 1 MB or one text of more."""
+        press = zstandard.ZstdDecompressor()
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for name, text in zip(batch.column("class").to_pylist(), batch.column("text")):
+                ids.append(name)
+                texts.append(press.decompress(text.as_py()).decode())
+                size += len(texts[-1])
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["class", "text"])
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["class", "text"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in text_chunks(batches):
+        for batch in unpacked(batches):
             members, sizes = shingle_sets(texts_of(batch), rule.words, known)
             ends = np.cumsum(sizes)
             parts = [members[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
@@ -184,16 +209,19 @@ def set_rows(docs: DataFrame, classes: DataFrame, rule: JaccardRule) -> DataFram
 
     # Sorted and merged at every size: repeated rows then lie side by side and are dropped before
     # their sets are made.
-    texts = keyed(docs).join(classes.hint("merge"), ["doc", "body"]).dropDuplicates(["doc", "body"])
+    texts = keyed(docs).mapInArrow(packed, "doc long, body long, text binary")
+    texts = texts.join(classes.hint("merge"), ["doc", "body"]).dropDuplicates(["doc", "body"])
     return texts.select(F.col("doc").alias("class"), "text").mapInArrow(listed, SETS)
 
 
-def candidate_classes(signed: DataFrame, rule: JaccardRule) -> tuple[DataFrame, DataFrame]:
+def candidate_classes(
+    signed: DataFrame, rule: JaccardRule, keep: Callable[[DataFrame], DataFrame] = stored
+) -> tuple[DataFrame, DataFrame]:
     """The classes that may have a partner (``class``, with the ``doc, body`` that stands for it),
     and a row for every shingle in their shorter beginning that another class has in its own
     (``tile, class, n``).
 
-    Until shingles that one class alone has are gone, classes go by a hash of their set. Copies
+    Both are written by ``keep``. Until shingles that one class alone has are gone, classes go by a hash of their set. Copies
     then fall together in the aggregation before the shuffle.
     """
     signed = signed.where("n > 0")
@@ -215,13 +243,14 @@ def candidate_classes(signed: DataFrame, rule: JaccardRule) -> tuple[DataFrame,
     held = held.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")))
     held = stored(held.where(F.col("held") >= need).select("tile", "early", "n", "doc", "body"))
     rows = held.where("early").select("tile", F.col("doc").alias("class"), "n")
-    return held.select(F.col("doc").alias("class"), "doc", "body").distinct(), stored(rows.distinct())
+    return keep(held.select(F.col("doc").alias("class"), "doc", "body").distinct()), keep(rows.distinct())
 
 
 def first_tries(rows: DataFrame) -> DataFrame:
     """One pair per class: with the smallest class of the tile group it shares most tiles with."""
-    low = F.min("class").over(Window.partitionBy("tile"))
-    pairs = rows.withColumn("low", low).where("low < class").groupBy("class", "low").count()
+    # Two written tables, so that Spark can split the task of a tile that very many classes share.
+    low = stored(rows.groupBy("tile").agg(F.min("class").alias("low")))
+    pairs = rows.join(low, "tile").where("low < class").groupBy("class", "low").count()
     best = F.max(F.struct("count", (-F.col("low")).alias("less"))).alias("best")
     return pairs.groupBy("class").agg(best).select((-F.col("best.less")).alias("a"), F.col("class").alias("b"))
 
@@ -250,14 +279,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
                 keep.append(bool(rule.links(overlap, len(left) + len(right))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long")
-    near = stored(near)
-    ids = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class")))
-    # Whole sets travel only for classes that are in a pair still.
-    sets = stored(sets.select("class", "members").join(ids.distinct(), "class"))
-    whole = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
-    return whole.select("a", "b", "members_a", "members_b").mapInArrow(intersected, "a long, b long")
+    with inner_tables(pairs.sparkSession) as keep:
+        near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+        near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long")
+        near = stored(near)
+        ids = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class")))
+        # Whole sets travel only for classes that are in a pair still.
+        sets = stored(sets.select("class", "members").join(ids.distinct(), "class"))
+        whole = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
+        whole = whole.select("a", "b", "members_a", "members_b")
+        return keep(whole.mapInArrow(intersected, "a long, b long"))
 
 
 def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -265,14 +296,25 @@ def tiles(rows: DataFrame, labels: DataFrame, sets: DataFrame, rule: JaccardRule
     tiles that the class is in."""
     early = rows
     rows = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    by_size = Window.partitionBy("tile").orderBy("n", "class")
-    cut = F.floor((F.row_number().over(by_size) - 1) / rule.block).cast("int")
+    rows = stored(rows)
+    # Numbered by the counts of each size, of which a tile has no more than sizes; a size of many
+    # classes is cut by hash. No block has smaller classes than the one before, and no task holds a tile.
+    sizes = rows.groupBy("tile", "n").agg(
+        F.count(F.lit(1)).alias("held"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    whole, by_size = Window.partitionBy("tile"), Window.partitionBy("tile").orderBy("n")
+    before = F.sum("held").over(by_size) - F.col("held")
     smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
     reach = (smaller * 100 >= F.col("n") * rule.percent) | (F.col("n") * 100 >= larger * rule.percent)
-    labels_of = Window.partitionBy("tile")
-    mixed = F.min("label").over(labels_of) < F.max("label").over(labels_of)
-    rows = rows.withColumns({"mixed": mixed, "block": cut, "reach": reach})
-    rows = stored(rows.where("mixed and reach").drop("mixed", "reach"))
+    mixed = F.min("low").over(whole) < F.max("high").over(whole)
+    first, parts = F.floor(before / rule.block), F.ceil(F.col("held") / rule.block)
+    sizes = sizes.withColumns(
+        {"mixed": mixed, "reach": (F.col("held") > 1) | reach, "head": first, "parts": parts}
+    )
+    sizes = stored(sizes.where("mixed and reach").select("tile", "n", "head", "parts"))
+    cut = F.col("head") + F.pmod(F.xxhash64("class"), F.col("parts"))
+    rows = rows.join(sizes, ["tile", "n"]).withColumn("block", cut.cast("int"))
+    rows = stored(rows.select("tile", "class", "n", "label", "block"))
     blocks = rows.groupBy("tile", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = blocks.select("tile", F.col("block").alias("i"), "most")
     right = blocks.select("tile", F.col("block").alias("j"), "least")
@@ -362,6 +404,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             rest.append(piece)
 
 
+def near_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, rule: JaccardRule) -> DataFrame:
+    """Linked classes ``a, b``: all first tries that hold, and all that the tiles then find."""
+    with inner_tables(docs.sparkSession) as keep:
+        sets = stored(set_rows(docs, classes.select("doc", "body"), rule))
+        links = confirmed(first_tries(rows), sets, rule)
+        with inner_tables(docs.sparkSession) as keep_pairs:
+            labels = components(links).toDF("class", "label")
+            pairs = keep_pairs(tile_pairs(tiles(rows, labels, sets, rule), rule))
+        return keep(links.unionByName(confirmed(pairs, sets, rule)))
+
+
 def near_components(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
     """``doc, body, n, component`` of every row: its document key, the hash of its text, the size
     of its set, and the smallest key that links lead to, its own included.
@@ -370,19 +423,17 @@ def near_components(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataF
     are one document, linked by what any of them holds; rows without an id are documents of their
     own, told apart by their text. Any number of equal sets are linked through one of them.
     """
-    signed = stored(signatures(docs, rule))
-    classes, rows = candidate_classes(signed, rule)
-    sets = stored(set_rows(docs, classes.select("doc", "body"), rule))
-    links = stored(confirmed(first_tries(rows), sets, rule))
-    labels = components(links).toDF("class", "label")
-    pairs = stored(tile_pairs(tiles(rows, labels, sets, rule), rule))
-    # Written, so that the join reads two plain tables and Spark can split the task of many copies.
-    names = stored(signed.groupBy("h1", "h2").agg(F.min("doc").alias("class")))
-    found = stored(signed.drop("bits", "start").join(names, ["h1", "h2"]).drop("h1", "h2"))
+    spark = docs.sparkSession
+    with inner_tables(spark) as keep:
+        signed = stored(signatures(docs, rule))
+        classes, rows = candidate_classes(signed, rule, keep)
+        # Written, so that the join reads two plain tables and Spark can split the task of many copies.
+        names = stored(signed.groupBy("h1", "h2").agg(F.min("doc").alias("class")))
+        found = keep(signed.drop("start").join(names, ["h1", "h2"]).drop("h1", "h2"))
+    links = near_links(docs, classes, rows, rule)
     held = found.where("n > 0").groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b"))
     held = found.join(held.where("a < b").select("doc", "a"), "doc").select("a", F.col("class").alias("b"))
-    links = links.unionByName(confirmed(pairs, sets, rule)).unionByName(held)
-    labels = components(links).toDF("class", "label")
+    labels = components(links.unionByName(held)).toDF("class", "label")
     found = found.join(labels, "class", "left")
     lone = F.col("n") == 0
     return found.select(
