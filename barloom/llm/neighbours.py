@@ -207,8 +207,10 @@ def neighbours_of_neighbours(lists: DataFrame, units: DataFrame, rule: Neighbour
 
 
 def neighbour_lists(units: DataFrame, rule: NeighbourRule, count: int, seed: int, old: DataFrame | None = None) -> DataFrame:
-    """Lists of the ``count`` nearest, refined until next to no link is new."""
-    lists = stored(best_of(first_neighbours(units, rule, seed), old, count))
+    """Lists of the ``count`` nearest, refined until next to no link is new. Old lists, which were
+    shorter, are new to the search: what their neighbourhoods had no place for is tried again."""
+    lists = best_of(first_neighbours(units, rule, seed), old, count)
+    lists = stored(lists.withColumn("fresh", F.lit(True)))
     limit = rule.threshold - BLUR
     for step in range(rule.steps):
         found = neighbours_of_neighbours(lists, units, rule, count, step)
