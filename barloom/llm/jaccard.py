@@ -264,10 +264,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            sizes, least = n_a + n_b, np.minimum(n_a, n_b)
             pairs_of_bits = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
             off = np.array([differing(x, y) for x, y in pairs_of_bits], dtype=np.int64)
-            keep = rule.links((sizes - off) // 2, sizes)
+            # Sets of unlike sizes share no more than the smaller one holds, whatever their bitmaps say.
+            keep = rule.links(np.minimum((sizes - off) // 2, least), sizes)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
