@@ -27,6 +27,30 @@ class RightSide:
     availability_lag: float = 0.0
 
 
+def carried_rows(ends: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per key and slice the last rows (``names``) of all earlier slices, from one row per slice and
+    side or several. Slices without a right row of their own are rows of NULLs."""
+    ends = ends.groupBy(*keys, "_slice").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in names]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(FIRST, -1)
+    return ends.select(
+        *keys, "_slice", *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names]
+    )
+
+
+def last_so_far(merged: DataFrame, place: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The left rows (``_side`` 2) of a merged table, each with the last right rows so far of its
+    slice, which the columns ``place`` tell.
+
+    Carried rows (0) have no time and sort first; on equal times right rows (1) come before left ones.
+    """
+    order = Window.partitionBy(*place).orderBy(F.col("time").asc_nulls_first(), "_side")
+    so_far = order.rowsBetween(FIRST, NOW)
+    found = merged.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names})
+    return found.where(F.col("_side") == 2)
+
+
 def asof_backward(
     left: DataFrame,
     rights: Sequence[RightSide],
@@ -59,27 +83,14 @@ def asof_backward(
     for name, side in zip(names, sides):
         last = side.groupBy(*keys, "_slice").agg(F.max_by(name, "time").alias(name))
         ends = ends.unionByName(last, allowMissingColumns=True)
-    ends = ends.groupBy(*keys, "_slice").agg(
-        *[F.first(n, ignorenulls=True).alias(n) for n in names]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(FIRST, -1)
-    carried = ends.select(
-        *keys, "_slice", *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names]
-    )
+    carried = carried_rows(ends, keys, names)
 
     merged = with_slice(left, layout).withColumn("_side", F.lit(2))
     for side in sides:
         merged = merged.unionByName(side.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     merged = merged.unionByName(carried.withColumn("_side", F.lit(0)), allowMissingColumns=True)
 
-    # Carried rows have no time and sort first; on equal times right rows come before left ones.
-    order = Window.partitionBy(*keys, "_slice").orderBy(F.col("time").asc_nulls_first(), "_side")
-    so_far = order.rowsBetween(FIRST, NOW)
-    matched = (
-        merged.repartition(*keys, "_slice")
-        .withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names})
-        .where(F.col("_side") == 2)
-    )
+    matched = last_so_far(merged.repartition(*keys, "_slice"), [*keys, "_slice"], names)
     picked = [
         F.col(f"{name}.{c}").alias(c) for name, right in zip(names, rights) for c in right.payload
     ]
