@@ -527,6 +527,7 @@ BOX = "proba_hausse, proba_neutre, proba_baisse"
 
 ORACLE: dict[str, str] = {
     "clean_bars": sql("SELECT * FROM clean", "clean"),
+    "clean_deliveries": sql("SELECT * FROM clean", "clean"),
     "raw_files": sql("SELECT * FROM clean", "clean"),
     "clean_summary": sql(
         """SELECT symbol, timeframe, count(*) AS rows, CAST(CAST(min(time) AS DATE) AS VARCHAR)
@@ -583,6 +584,7 @@ ORACLE: dict[str, str] = {
     ),
     "asof_multi_timeframe": asof_coarse("0 HOUR"),
     "asof_when_known": asof_coarse("8 HOUR"),
+    "asof_sliced": asof_coarse("0 HOUR"),
     "asof_macro": sql(
         """SELECT f.symbol, f.time, f.close, round(x.value, 9) AS XAU_Return,
             round(h.value, 9) AS CHF_Return

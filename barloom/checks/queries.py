@@ -5,6 +5,8 @@ Products that several steps read are stored in the shared folder, as a pipeline
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from barloom.functions.trading import (
 )
 from barloom.operators import audit, cleaning, events, filters, losses, metrics, scores, sizing
 from barloom.operators.asof import RightSide, asof_backward, asof_by_time
+from barloom.operators.first_seen import clean_delivery
 from barloom.operators.indicators import (
     add_indicators,
     base_features,
@@ -32,6 +35,7 @@ from barloom.operators.labels import (
     label_distribution,
     triple_barrier_label,
 )
+from barloom.operators.sliced import asof_sliced, write_sliced
 from barloom.plans import models, training
 from barloom.plans.evaluation import Rules, evaluation, evaluation_inputs, priced_trades
 from barloom.plans.ml_table import (
@@ -252,6 +256,17 @@ def q_clean_bars(spark, sf_dir):
     return cleaning.clean_bars(raw_rows(spark, sf_dir), ["line"], fmt=cleaning.TIME_FORMAT)
 
 
+def q_clean_deliveries(spark, sf_dir):
+    """The raw rows in three deliveries of growing size, each cleaned against the index of the ones before."""
+    raw, index = stored(raw_rows(spark, sf_dir)), shared_folder(spark)
+    last = raw.agg(F.max("line").alias("line")).first().line or 0
+    bounds, parts = [-1, last // 9, last // 3, last], []
+    for n, (above, to) in enumerate(zip(bounds, bounds[1:])):
+        rows = raw.where((F.col("line") > above) & (F.col("line") <= to))
+        parts.append(clean_delivery(rows, index, f"part{n}", ["line"], fmt=cleaning.TIME_FORMAT))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def q_clean_summary(spark, sf_dir):
     return cleaning.clean_summary(q_clean_bars(spark, sf_dir)).select(
         "symbol",
@@ -359,6 +374,18 @@ def q_asof_when_known(spark, sf_dir):
     return with_coarse(spark, sf_dir, 8.0)
 
 
+def q_asof_sliced(spark, sf_dir):
+    """Bars and coarse features as bucketed tables of the catalog, joined bucket by bucket."""
+    bars, run, buckets = event_bars(spark, sf_dir), uuid.uuid4().hex, 8
+    fine = bars.where(F.col("timeframe") == "H1").select(*TIME_KEYS, "close")
+    left = write_sliced(fine, f"bars_{run}", buckets)
+    rights = [
+        (write_sliced(side.df, f"side{n}_{run}", buckets), side.payload)
+        for n, side in enumerate(coarse_sides(bars))
+    ]
+    return rounded(asof_sliced(left, rights), 9, RSI_14_H4=6, RSI_14_D1=6)
+
+
 def q_asof_macro(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     left = bars.where(F.col("timeframe") == "H1").select(*TIME_KEYS, "close")
@@ -679,6 +706,7 @@ def q_importance_table(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "clean_bars": q_clean_bars,
+    "clean_deliveries": q_clean_deliveries,
     "raw_files": q_raw_files,
     "rejected_files": q_rejected_files,
     "bars_round_trip": q_bars_round_trip,
@@ -704,6 +732,7 @@ QUERIES: dict[str, Query] = {
     "feat_macro_returns": q_macro_returns,
     "asof_multi_timeframe": q_asof_multi_timeframe,
     "asof_when_known": q_asof_when_known,
+    "asof_sliced": q_asof_sliced,
     "asof_macro": q_asof_macro,
     "ml_table": q_ml_table,
     "model_features": q_model_features,
