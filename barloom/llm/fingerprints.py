@@ -46,7 +46,9 @@ PAIRS = (
 class DigestRule:
     """``window`` bytes to a feature, ``run`` windows to a contest, ``wins`` to be selected;
     entropy in ``levels`` steps; filters of ``bits`` bits with ``hashes`` per feature, ``fill``
-    features each. ``rows``: documents of one stretch of the id order, about."""
+    features each. ``rows``: documents of one stretch of the id order, about; beyond
+    ``stretches`` of them they get longer, and a task reads through its own row by row. The bounds of
+    stretches are found from about ``ids_for_cut`` sampled ids for each."""
 
     window: int = 32
     run: int = 32
@@ -56,6 +58,8 @@ class DigestRule:
     hashes: int = 5
     fill: int = 160
     rows: int = 1024
+    stretches: int = 65_536
+    ids_for_cut: int = 32
 
 
 @functools.cache
@@ -237,15 +241,17 @@ def stretches(docs: DataFrame, rule: DigestRule) -> DataFrame:
     """
     rows = docs.select(document_key().alias("doc"), F.xxhash64("text").alias("body"), "text")
     ids = stored(rows.select("doc", "body"))
-    n = min(4096, 1 + ids.count() // rule.rows)
+    count = ids.count()
+    n = min(rule.stretches, 1 + count // rule.rows)
     quantiles = F.percentile_approx("doc", [i / n for i in range(1, n)], 4 * n) if n > 1 else F.array()
-    cuts = np.unique(np.array(ids.agg(quantiles.alias("cuts")).first().cuts or [], dtype=np.int64))
+    some = ids.sample(fraction=min(1.0, rule.ids_for_cut * n / max(count, 1)), seed=n)
+    cuts = np.unique(np.array(some.agg(quantiles.alias("cuts")).first().cuts or [], dtype=np.int64))
 
     @F.pandas_udf("int")
     def stretch(doc: pd.Series) -> pd.Series:
         return pd.Series((len(cuts) - np.searchsorted(cuts, doc.to_numpy())).astype(np.int32))
 
-    # One row per stretch, 4,096 at most.
+    # One row per stretch, ``rule.stretches`` at most.
     heads = ids.groupBy(stretch("doc").alias("stretch")).agg(F.max(F.struct("doc", "body")).alias("head"))
     order = Window.orderBy("stretch")
     last = F.max("stretch").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -10,6 +10,8 @@ DataFrame functions only. Keys are MD5 digests, the same on every engine.
 
 from __future__ import annotations
 
+import hashlib
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +25,23 @@ class Mixture:
     """``weights`` are dealt to the sources in code point order (null last), again and again.
 
     A source gives at most ``repeats`` times its size. ``bucket_digits`` hexadecimal digits of the
-    key make a bucket: 16 ** digits buckets per source.
+    key make a bucket, and more where a bucket of a source could hold over ``bucket_rows`` rows on
+    average; how long buckets are changes no result.
     """
 
     weights: tuple[int, ...] = (1, 2, 3)
     repeats: int = 3
     bucket_digits: int = 3
+    bucket_rows: int = 4_096
     seed: str = "mix"
 
+    def digits(self, rows: int) -> int:
+        """Digits that make a bucket in a table of so many rows, all of which may be of one source."""
+        digits = self.bucket_digits
+        while rows > self.bucket_rows * 16**digits:
+            digits += 1
+        return digits
+
 
 def size_of(text: str | Column) -> Column:
     """Number of words; a null text has none."""
@@ -76,19 +87,27 @@ def source_targets(rows: DataFrame, mixture: Mixture) -> DataFrame:
     )
 
 
-def mixed(rows: DataFrame, mixture: Mixture = Mixture(), id_column: str = "doc_id") -> DataFrame:
+def mixed(
+    rows: DataFrame, mixture: Mixture = Mixture(), id_column: str = "doc_id", ties: tuple[str, ...] = ()
+) -> DataFrame:
     """``rows`` (with ``source`` and ``size``) and what the mix takes of each.
 
     Adds source_size, target, ``taken`` (the words taken, repeats counted), ``epochs`` (whole
     copies) and ``part`` (words of one more copy, cut where the source's budget ends). The budget
-    is the target rounded to whole words. Rows that share an id are taken in order of their size.
+    is the target rounded to whole words. Rows that share an id are taken in order of their size, then
+    of the columns ``ties``. Rows without an id share one key, and lie in a bucket for each size.
     """
     id_text = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
     key = F.md5(F.concat(F.lit(mixture.seed + ":"), id_text))
+    no_id = hashlib.md5(f"{mixture.seed}:null".encode()).hexdigest()
     # One name for source and bucket, null source included: rows are shuffled by it once, for the
     # join with what lies before the bucket and for the running sum inside it.
-    bucket = F.left(key, F.lit(mixture.bucket_digits))
-    place = F.concat(bucket, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    # Their names sort as (key, size) do: the bucket with the key of rows without an id has keys below,
+    # that key by size, and keys above.
+    bucket = F.left(key, F.lit(mixture.digits(rows.count())))
+    by_size = F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 19, "0"))
+    side = F.when(key < no_id, F.lit("0")).when(key == no_id, by_size).otherwise(F.lit("2"))
+    place = F.concat(bucket, side, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     keyed = rows.withColumns({"__key": key, "__place": place})
     buckets = keyed.groupBy("__place", "source").agg(F.sum("size").alias("bucket_size"))
     buckets = stored(buckets)
@@ -101,7 +120,7 @@ def mixed(rows: DataFrame, mixture: Mixture = Mixture(), id_column: str = "doc_i
     targets = targets.withColumnRenamed("source", "__t")
     offsets = offsets.join(targets, F.expr("__s <=> __t")).drop("__s", "__t")
     joined = keyed.join(offsets, "__place")
-    inside = Window.partitionBy("__place").orderBy("__key", "size")
+    inside = Window.partitionBy("__place").orderBy("__key", "size", *ties)
     prior = F.coalesce(
         F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -126,7 +145,8 @@ def mix_report(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 def mix_documents(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """The mixed corpus: each document as many times as the mix takes it, never torn.
 
-    The copy in which a source's budget ends is kept if at least half of it lies within. Columns
+    Rows that share an id and a size are taken in order of a hash of their text. The copy in which a
+    source's budget ends is kept if at least half of it lies within. Columns
     are those of ``docs``, and columns of other names stay as they are.
     """
     names = docs.columns
@@ -135,9 +155,10 @@ def mix_documents(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
         F.col("doc_id").alias("doc_id"),
         F.col("source").alias("source"),
         size_of("text").alias("size"),
+        F.xxhash64("text").alias("body"),
     )
     part = (F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))
     copies = F.col("epochs") + F.when(part, 1).otherwise(0)
-    taken = mixed(packed, mixture).withColumn("__copies", copies).where("__copies > 0")
+    taken = mixed(packed, mixture, ties=("body",)).withColumn("__copies", copies).where("__copies > 0")
     taken = taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return taken.select("__row.*")

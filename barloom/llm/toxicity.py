@@ -41,13 +41,12 @@ JOINERS = re.compile("[\u00ad\u200b-\u200f\u2060\ufe0f]")
 
 @dataclass(frozen=True)
 class LexiconRule:
-    """``sample``: labelled documents that the lexicon is learned from, at most. ``terms``: its
-    size at most. ``prefixes``: lengths of the beginnings of words that can be terms. A term has
+    """``sample``: labelled documents that the lexicon is learned from, at most, which bounds
+    its size too. ``prefixes``: lengths of the beginnings of words that can be terms. A term has
     ``min_docs`` toxic documents, log odds of ``min_weight`` and a deviation of ``min_z`` or more;
     a longer form of it below ``spared_weight`` is an exception phrase."""
 
     sample: int = 16_384
-    terms: int = 2_000
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     min_docs: int = 5
     min_weight: float = 2.0
@@ -77,7 +76,7 @@ def fold(text: str) -> str:
 
 
 def candidate_terms(words: set[str], lengths: tuple[int, ...]) -> set[str]:
-    found = {f" {w} " for w in words if len(w) <= 40}
+    found = {f" {w} " for w in words}
     for n in lengths:
         found.update(f" {w[:n]}" for w in words if len(w) >= n)
     return found
@@ -152,7 +151,7 @@ def learn_lexicon(
     counts = stored(counts.where(F.col("toxic") + F.col("clean") >= rule.min_docs))
     strong = (F.col("weight") >= rule.min_weight) & (F.col("z") >= rule.min_z)
     picked = counts.where((F.col("toxic") >= rule.min_docs) & strong)
-    picked = picked.orderBy(F.desc("z"), F.desc(F.length("term")), "term").limit(rule.terms)
+    picked = picked.orderBy(F.desc("z"), F.desc(F.length("term")), "term")
     weights = chosen_terms([(r.term, r.weight) for r in picked.collect()])
     if not weights:
         return Lexicon(())
@@ -162,7 +161,7 @@ def learn_lexicon(
     for n, terms in lengths.items():
         longer |= (F.length("term") > n) & F.left("term", F.lit(n)).isin(terms)
     longer = counts.where((F.col("weight") < rule.spared_weight) & longer)
-    spared = longer.orderBy(F.desc("clean"), "term").limit(rule.terms).collect()
+    spared = longer.orderBy(F.desc("clean"), "term").collect()
     lexicon = Lexicon(tuple(weights.items()), tuple(r.term for r in spared))
     return fitted_curve(sample, lexicon)
 
