@@ -97,3 +97,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert fp.fingerprint_report(no_docs).count() == 0
     one = spark.createDataFrame([(5, "only one text " * 9)], "doc_id long, text string")
     assert [(r.near_next, r.n_chars) for r in fp.fingerprint_report(one).collect()] == [(1.0, 126)]
+
+
+def test_stretches_change_nothing(sf_small):
+    """Few long stretches, and bounds from a few sampled ids, give the same rows."""
+    docs = sf_small("documents")
+    want = sorted(map(tuple, fp.fingerprint_report(docs).collect()))
+    for rule in (fp.DigestRule(rows=16, stretches=3), fp.DigestRule(rows=16, ids_for_cut=1)):
+        assert sorted(map(tuple, fp.fingerprint_report(docs, rule).collect())) == want

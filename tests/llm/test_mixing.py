@@ -43,3 +43,23 @@ def test_documents_repeat_whole(odd_docs, no_docs):
     assert {r.text for r in mixed.select("text").collect()} <= texts
     assert mixed.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6
     assert mixing.mix_documents(no_docs).count() == 0
+
+
+def test_buckets_grow_in_number_with_the_rows():
+    mixture = mixing.Mixture(bucket_digits=1, bucket_rows=10)
+    assert [mixture.digits(n) for n in (0, 160, 161, 2_560, 2_561)] == [1, 1, 2, 2, 3]
+
+
+def test_many_rows_without_an_id(spark):
+    """They share a key and are taken by size, whatever the buckets; other ids lie around them."""
+    rows = [(None if i % 3 else i, "ab"[i % 2], "w " * (1 + i % 7)) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for mixture in (mixing.Mixture(), mixing.Mixture(bucket_digits=0, bucket_rows=5)):
+        same([tuple(r) for r in mixing.mix_report(table, mixture).collect()], mix(rows))
+
+
+def test_rows_of_one_id_and_size_are_told_apart_by_their_text(spark):
+    rows = [(7, "a", f"w{i} x") for i in range(30)] + [(8, "b", "w " * 400)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    runs = [sorted(map(str, mixing.mix_documents(table.repartition(n)).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]

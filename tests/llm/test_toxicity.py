@@ -64,3 +64,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.toxicity_scores(odd_docs, labels.limit(0)).agg(F.max("score")).first()[0] < 0.5
     kept = toxicity.drop_toxic(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_words_of_any_length_can_be_terms():
+    long = "x" * 300
+    assert f" {long} " in toxicity.candidate_terms({long, "ab"}, (4,))
