@@ -251,3 +251,22 @@ def test_one_part_of_a_product_is_replaced(spark, tmp_path):
     assert sums() == held
     with pytest.raises(ValueError):
         write_table(rows, path, replace="parts")
+
+
+def test_a_cluster_without_such_a_folder_uses_the_warehouse():
+    class Session:
+        def __init__(self, base, warehouse, master):
+            self.conf = {"spark.sql.warehouse.dir": warehouse} | ({"spark.checkpoint.dir": base} if base else {})
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-y"})
+
+    for base in (None, "/tmp/x"):
+        for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+            for warehouse in ("hdfs://host/tables", "file:/mnt/tables/"):
+                found = shared_folder(Session(base, warehouse, master))
+                assert found.startswith(f"{warehouse.rstrip('/')}/barloom-")
+        default = "file:/home/me/spark-warehouse"
+        assert shared_folder(Session(base, default, "local-cluster[2,1,1024]")).startswith(f"{default}/barloom-")
+        with pytest.raises(ValueError):
+            shared_folder(Session(base, default, "yarn"))
+    kept = Session("s3a://bucket/x", "hdfs://host/tables", "yarn")
+    assert shared_folder(kept).startswith("s3a://bucket/x/barloom-")
