@@ -9,6 +9,7 @@ from barloom.checks.queries import QUERIES
 NAMES = (
     "asof_macro",
     "asof_multi_timeframe",
+    "asof_when_known",
 )
 
 
