@@ -10,6 +10,7 @@ NAMES = (
     "asof_macro",
     "asof_multi_timeframe",
     "asof_when_known",
+    "asof_sliced",
 )
 
 
