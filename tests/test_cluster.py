@@ -11,6 +11,7 @@ NAMES = (
     "asof_multi_timeframe",
     "asof_when_known",
     "asof_sliced",
+    "bars_round_trip",
 )
 
 
