@@ -12,6 +12,7 @@ NAMES = (
     "asof_when_known",
     "asof_sliced",
     "bars_round_trip",
+    "best_candidate",
 )
 
 
