@@ -13,6 +13,7 @@ NAMES = (
     "asof_sliced",
     "bars_round_trip",
     "best_candidate",
+    "box_stats",
 )
 
 
