@@ -14,6 +14,7 @@ NAMES = (
     "bars_round_trip",
     "best_candidate",
     "box_stats",
+    "confirm_on_test",
 )
 
 
