@@ -15,6 +15,7 @@ NAMES = (
     "best_candidate",
     "box_stats",
     "confirm_on_test",
+    "buy_and_hold",
 )
 
 
