@@ -16,6 +16,7 @@ NAMES = (
     "box_stats",
     "confirm_on_test",
     "buy_and_hold",
+    "clean_deliveries",
 )
 
 
