@@ -17,6 +17,7 @@ NAMES = (
     "confirm_on_test",
     "buy_and_hold",
     "clean_deliveries",
+    "daily_pnl",
 )
 
 
