@@ -18,6 +18,7 @@ NAMES = (
     "buy_and_hold",
     "clean_deliveries",
     "daily_pnl",
+    "feat_ema_since",
 )
 
 
