@@ -19,6 +19,7 @@ NAMES = (
     "clean_deliveries",
     "daily_pnl",
     "feat_ema_since",
+    "entries",
 )
 
 
