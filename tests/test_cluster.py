@@ -20,6 +20,7 @@ NAMES = (
     "daily_pnl",
     "feat_ema_since",
     "entries",
+    "feat_increments",
 )
 
 
