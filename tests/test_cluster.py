@@ -21,6 +21,7 @@ NAMES = (
     "feat_ema_since",
     "entries",
     "feat_increments",
+    "equity_drawdown",
 )
 
 
