@@ -22,6 +22,7 @@ NAMES = (
     "entries",
     "feat_increments",
     "equity_drawdown",
+    "first_passage_long",
 )
 
 
