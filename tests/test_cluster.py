@@ -23,6 +23,7 @@ NAMES = (
     "feat_increments",
     "equity_drawdown",
     "first_passage_long",
+    "first_passage",
 )
 
 
