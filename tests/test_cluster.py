@@ -25,6 +25,7 @@ NAMES = (
     "first_passage_long",
     "first_passage",
     "forest_predictions",
+    "forest_checks",
 )
 
 
