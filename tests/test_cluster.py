@@ -26,6 +26,7 @@ NAMES = (
     "first_passage",
     "forest_predictions",
     "forest_checks",
+    "loss_breakdown",
 )
 
 
