@@ -28,6 +28,7 @@ NAMES = (
     "forest_checks",
     "loss_breakdown",
     "impurity_importance",
+    "importance_filter",
 )
 
 
