@@ -29,6 +29,7 @@ NAMES = (
     "loss_breakdown",
     "impurity_importance",
     "importance_filter",
+    "impurity_checks",
 )
 
 
