@@ -30,6 +30,7 @@ NAMES = (
     "impurity_importance",
     "importance_filter",
     "impurity_checks",
+    "importance_table",
 )
 
 
