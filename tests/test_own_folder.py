@@ -11,6 +11,7 @@ from test_cluster import tables  # noqa: F401
 
 NAMES = (
     "pipeline",
+    "op1_quality_rules",
 )
 
 
