@@ -12,6 +12,7 @@ from test_cluster import tables  # noqa: F401
 NAMES = (
     "pipeline",
     "op1_quality_rules",
+    "op2_fingerprints",
 )
 
 
