@@ -13,6 +13,7 @@ NAMES = (
     "pipeline",
     "op1_quality_rules",
     "op2_fingerprints",
+    "op3_substring_dedup",
 )
 
 
