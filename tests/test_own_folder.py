@@ -14,6 +14,7 @@ NAMES = (
     "op1_quality_rules",
     "op2_fingerprints",
     "op3_substring_dedup",
+    "op4_mixing",
 )
 
 
