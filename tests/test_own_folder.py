@@ -15,6 +15,7 @@ NAMES = (
     "op2_fingerprints",
     "op3_substring_dedup",
     "op4_mixing",
+    "op5_sharding",
 )
 
 
