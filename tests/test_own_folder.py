@@ -16,6 +16,7 @@ NAMES = (
     "op3_substring_dedup",
     "op4_mixing",
     "op5_sharding",
+    "op6_line_dedup",
 )
 
 
