@@ -17,6 +17,7 @@ NAMES = (
     "op4_mixing",
     "op5_sharding",
     "op6_line_dedup",
+    "op8_jaccard_join",
 )
 
 
