@@ -18,6 +18,7 @@ NAMES = (
     "op5_sharding",
     "op6_line_dedup",
     "op8_jaccard_join",
+    "op9_url_filter",
 )
 
 
