@@ -19,6 +19,7 @@ NAMES = (
     "op6_line_dedup",
     "op8_jaccard_join",
     "op9_url_filter",
+    "op10_toxicity",
 )
 
 
