@@ -20,6 +20,7 @@ NAMES = (
     "op8_jaccard_join",
     "op9_url_filter",
     "op10_toxicity",
+    "op11_alignment",
 )
 
 
