@@ -21,6 +21,7 @@ NAMES = (
     "op9_url_filter",
     "op10_toxicity",
     "op11_alignment",
+    "op12_hard_negatives",
 )
 
 
