@@ -22,6 +22,7 @@ NAMES = (
     "op10_toxicity",
     "op11_alignment",
     "op12_hard_negatives",
+    "op13_near_vectors",
 )
 
 
