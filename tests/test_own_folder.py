@@ -23,6 +23,7 @@ NAMES = (
     "op11_alignment",
     "op12_hard_negatives",
     "op13_near_vectors",
+    "asof_macro",
 )
 
 
