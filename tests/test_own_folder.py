@@ -24,6 +24,7 @@ NAMES = (
     "op12_hard_negatives",
     "op13_near_vectors",
     "asof_macro",
+    "asof_sliced",
 )
 
 
