@@ -26,6 +26,7 @@ NAMES = (
     "asof_macro",
     "asof_sliced",
     "asof_multi_timeframe",
+    "best_candidate",
 )
 
 
