@@ -27,6 +27,7 @@ NAMES = (
     "asof_sliced",
     "asof_multi_timeframe",
     "best_candidate",
+    "bars_round_trip",
 )
 
 
