@@ -28,6 +28,7 @@ NAMES = (
     "asof_multi_timeframe",
     "best_candidate",
     "bars_round_trip",
+    "asof_when_known",
 )
 
 
