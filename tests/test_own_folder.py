@@ -29,6 +29,7 @@ NAMES = (
     "best_candidate",
     "bars_round_trip",
     "asof_when_known",
+    "box_stats",
 )
 
 
