@@ -30,6 +30,7 @@ NAMES = (
     "bars_round_trip",
     "asof_when_known",
     "box_stats",
+    "buy_and_hold",
 )
 
 
