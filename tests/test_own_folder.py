@@ -31,6 +31,7 @@ NAMES = (
     "asof_when_known",
     "box_stats",
     "buy_and_hold",
+    "clean_deliveries",
 )
 
 
