@@ -32,6 +32,7 @@ NAMES = (
     "box_stats",
     "buy_and_hold",
     "clean_deliveries",
+    "confirm_on_test",
 )
 
 
