@@ -33,6 +33,7 @@ NAMES = (
     "buy_and_hold",
     "clean_deliveries",
     "confirm_on_test",
+    "daily_pnl",
 )
 
 
