@@ -34,6 +34,7 @@ NAMES = (
     "clean_deliveries",
     "confirm_on_test",
     "daily_pnl",
+    "entries",
 )
 
 
