@@ -35,6 +35,7 @@ NAMES = (
     "confirm_on_test",
     "daily_pnl",
     "entries",
+    "equity_drawdown",
 )
 
 
