@@ -36,6 +36,7 @@ NAMES = (
     "daily_pnl",
     "entries",
     "equity_drawdown",
+    "feat_ema_since",
 )
 
 
