@@ -37,6 +37,7 @@ NAMES = (
     "entries",
     "equity_drawdown",
     "feat_ema_since",
+    "feat_increments",
 )
 
 
