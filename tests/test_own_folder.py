@@ -38,6 +38,7 @@ NAMES = (
     "equity_drawdown",
     "feat_ema_since",
     "feat_increments",
+    "first_passage",
 )
 
 
