@@ -42,6 +42,7 @@ NAMES = (
     "first_passage_long",
     "importance_filter",
     "forest_predictions",
+    "forest_checks",
 )
 
 
