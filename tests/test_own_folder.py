@@ -43,6 +43,7 @@ NAMES = (
     "importance_filter",
     "forest_predictions",
     "forest_checks",
+    "importance_table",
 )
 
 
