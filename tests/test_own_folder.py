@@ -45,6 +45,7 @@ NAMES = (
     "forest_checks",
     "importance_table",
     "impurity_importance",
+    "impurity_checks",
 )
 
 
