@@ -46,6 +46,7 @@ NAMES = (
     "importance_table",
     "impurity_importance",
     "impurity_checks",
+    "loss_breakdown",
 )
 
 
